@@ -21,5 +21,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_token_files)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op6_token_files, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
