@@ -13,6 +13,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import language_model
+
+    return language_model(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -27,5 +33,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op6_token_files, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
