@@ -27,11 +27,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op6_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op6_token_files, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
