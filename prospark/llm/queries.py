@@ -19,6 +19,12 @@ def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(documents(spark, sf_dir))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import compare_edited
+
+    return compare_edited(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -39,5 +45,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op6_token_files, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op4_winnowing, op6_token_files, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
