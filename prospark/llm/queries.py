@@ -33,6 +33,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -45,5 +51,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op4_winnowing, op6_token_files, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op4_winnowing, op6_token_files, op7_pii, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
