@@ -39,6 +39,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -51,5 +57,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op4_winnowing, op6_token_files, op7_pii, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op4_winnowing, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
