@@ -1,8 +1,45 @@
-"""The corpus pipeline: each stage gets what its predecessor kept."""
+"""The corpus pipeline: five stages, each on what its predecessor kept.
+
+Quality rejects documents below the threshold; line dedup cuts repeated lines out of texts; the n-gram Jaccard join keeps
+the document of the smallest doc_id of each group of near copies; decontamination drops documents that hold benchmark
+items; packing cuts what is left into training sequences.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labels of the training rows among docs (crc32(doc_id) mod 5 isn't 0), as the query of the operator."""
+    from prospark.llm import quality
+    from prospark.llm._shared import documents, held_out
+
+    model = quality.fit(docs, documents(spark, sf_dir, "labels"), ~held_out(5, 0))
+    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no line is left go; a text that was empty before stays."""
+    from prospark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(docs).where((F.size("dropped") == 0) | (F.trim("text") != "")).select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of a null doc_id stay; repeated rows of the doc_id that stays, too."""
+    from prospark.llm.jaccard_join import jaccard_components
+
+    groups = jaccard_components(docs).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(groups, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti").select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from prospark.llm._shared import documents
+    from prospark.llm.decontamination import decontaminate
+
+    return decontaminate(docs, documents(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -11,12 +48,21 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; each result is written to the shared folder and read again as the next one's input."""
+    from prospark.llm._shared import documents, stored
+
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

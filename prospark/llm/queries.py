@@ -19,6 +19,12 @@ def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import matches
+
+    return matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import compare_edited
 
@@ -57,5 +63,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op4_winnowing, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
