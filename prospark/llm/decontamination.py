@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation: finds quoted and re-parameterised benchmark items.
 
 A text becomes a stream of template tokens: words without outer punctuation and case, where numbers (digits or spelled),
-units after numbers, and names (capitalised words inside a sentence, neighbours merged) are typed placeholders whose
+units after numbers, and names (capitalised words inside a sentence, not all capitals, neighbours merged) are typed placeholders whose
 values are kept as slots.  Windows of `window` template tokens are hashed; windows of documents are joined by hash with
 those of the benchmark.  A fixed-size bitmap of the benchmark's windows keeps all but a few other windows out of the
 join, whatever the sizes.  A document and an item match when enough different windows of the item occur in the document
@@ -74,8 +74,11 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     value = hashes(low, start, end)
     upper = ((raw[start] >= 0x41) & (raw[start] <= 0x5A)) | ((raw[start] == 0xC3) & (raw[np.minimum(start + 1, len(raw) - 1)] >= 0x80) & (raw[np.minimum(start + 1, len(raw) - 1)] <= 0x9E))
+    small = (raw >= 0x61) & (raw <= 0x7A)
+    small[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x9F)
+    small = np.concatenate(([0], np.cumsum(small)))
     kind = np.zeros(len(start), np.int8)
-    kind[upper & ~opens] = _NAME
+    kind[upper & ~opens & (small[end] > small[start])] = _NAME  # a word all in capitals isn't told to be a name
     kind[digit[start] | _in(value, _NUMBERS)] = _NUM
     unit = _in(value, _UNITS)
     unit[0] = False
