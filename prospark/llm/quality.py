@@ -117,7 +117,7 @@ class Model:
         return ((votes * self.label[top]).sum(1) + 1e-4 * self.prior) / (votes.sum(1) + 1e-4)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, per_class: int) -> tuple[DataFrame, tuple[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, per_class: int | tuple[int, int]) -> tuple[DataFrame, tuple[int, int]]:
     """(doc_id, text, label) of a bounded sample of training rows, and how many training rows each label has.
 
     Labels other than 0 and 1, and null doc_ids, are left out; of several labels of a doc_id the largest counts.
@@ -125,7 +125,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, per_
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(train)
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counts = (counts.get(0, 0), counts.get(1, 0))
-    limit = [int((1 << 30) * min(1.0, per_class / max(1, c))) for c in counts]
+    most = per_class if isinstance(per_class, tuple) else (per_class, per_class)
+    limit = [int((1 << 30) * min(1.0, m / max(1, c))) for m, c in zip(most, counts)]
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("label") == 1, limit[1]).otherwise(limit[0])).groupBy("doc_id").agg(F.max("label").alias("label"))
     # at most about two times per_class rows, by the limits above: small enough to send to all
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id"), counts

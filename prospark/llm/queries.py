@@ -31,6 +31,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -63,5 +69,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op5_toxicity, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
