@@ -106,7 +106,7 @@ def phone_class(x: Column) -> Column:
 
 
 def split_phones(cell: Column) -> Column:
-    parts = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), "[/;,\\n\\r]+"), F.trim), lambda p: p.rlike("[0-9]"))
+    parts = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), "[/;,\\n\\r]+"), lambda p: F.trim(p)), lambda p: p.rlike("[0-9]"))
     return F.struct(F.filter(parts, lambda p: phone_class(p) != "mobile").alias("company"), F.filter(parts, lambda p: phone_class(p) == "mobile").alias("person"))
 
 
