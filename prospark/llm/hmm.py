@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from ._shared import held_out, stored
 from ._words import Block, blocks, hashes
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 SEGMENT = 256
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+def _merge(words: list[np.ndarray], kinds: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    word, first, inverse = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+    return word, np.concatenate(kinds)[first], np.bincount(inverse, weights=np.concatenate(counts), minlength=len(word)).astype(np.int64)
 
 
 def _suffix(block: Block, classes: int) -> np.ndarray:
@@ -39,36 +39,32 @@ def _suffix(block: Block, classes: int) -> np.ndarray:
     return (hashes(block.buf, np.maximum(block.starts, block.ends - 3), block.ends) % np.uint64(classes)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame, training, classes: int, keep: int = 1_000_000) -> DataFrame:
+def word_counts(docs: DataFrame, training, classes: int, keep: int = 500_000) -> DataFrame:
     """(word, class, n) over the training rows; a task sums up to `keep` distinct words before it passes them on."""
 
     def run(batches):
-        keys, kinds, counts, held = [], {}, [], 0
+        held: list[list[np.ndarray]] = [[], [], []]  # words, classes, counts
+        size = 0
 
-        def flush():
-            key, n = _merge(keys, counts)
-            word, kind = key["word"], key["class"]
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], ["word", "class", "n"])
+        def merged():
+            word, kind, n = _merge(*held)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kind), pa.array(n)], ["word", "class", "n"])
 
-        pair = np.dtype([("word", np.uint64), ("class", np.int64)])
         for batch in batches:
             for block in blocks(batch.column(0)):
                 block.words()
                 word, first, n = np.unique(block.hash(), return_index=True, return_counts=True)
-                rows = np.empty(len(word), pair)
-                rows["word"], rows["class"] = word, _suffix(block, classes)[first]
-                keys.append(rows)
-                counts.append(n)
-                held += len(word)
-                if held > 2 * keep:
-                    key, n = _merge(keys, counts)
-                    keys[:], counts[:], held = [key], [n], len(key)
-                    if held > keep:
-                        yield flush()
-                        keys.clear(), counts.clear()
-                        held = 0
-        if keys:
-            yield flush()
+                for x, y in zip(held, (word, _suffix(block, classes)[first].astype(np.int32), n)):
+                    x.append(y)
+                size += len(word)
+                if size > 2 * keep:
+                    held = [[x] for x in _merge(*held)]
+                    size = len(held[0][0])
+                    if size > keep:
+                        yield merged()
+                        held, size = [[], [], []], 0
+        if size:
+            yield merged()
 
     return docs.where(training).select(F.col("text").cast("string")).mapInArrow(run, "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
@@ -159,7 +155,7 @@ def symbol_chunks(docs: DataFrame, training, vocabulary: Vocabulary) -> DataFram
                 symbol, at, word = v.encode(block)
                 count = np.diff(block.bounds)
                 ends = np.cumsum(count)
-                state["symbols"].append(np.insert(symbol, ends, v.end))
+                state["symbols"].append(np.insert(symbol.astype("<u4"), ends, v.end))
                 state["lengths"].append(count + 1)
                 doc = np.repeat(np.arange(block.n), count)
                 hit = at >= 0
