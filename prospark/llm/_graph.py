@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ._shared import stored
 
+PART = 200_000  # edges that one task shrinks in memory
+
 
 def _local(batches):
     """Union-find over the edges of one partition: the same connections as stars, at most one edge a node."""
@@ -47,16 +49,18 @@ def _stars(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), a != b; component is the smallest node it is connected with.
 
-    Partitions first shrink their own edges to stars; star steps then run until nothing changes, each written to the
-    shared folder.  No step needs all edges of a node or a component in one place.
+    Parts of at most about PART edges first shrink their own edges to stars; with more than one part, star steps then run
+    until nothing changes, each written to the shared folder.  No step needs all edges of a node or a component in one place.
     """
 
     def mark(df: DataFrame):
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r.n, r.s
 
-    e = stored(edges.select("a", "b").mapInArrow(_local, "u long, v long").distinct())
-    seen = mark(e)
+    parts = max(1, -(-edges.count() // PART))
+    e = edges.select("a", "b").coalesce(parts).mapInArrow(_local, "u long, v long")
+    e = stored(e if parts == 1 else e.distinct())
+    seen = mark(e) if parts > 1 else (0, None)  # the edges of a single part are stars already
     while seen[0]:
         e = stored(_stars(e))
         now = mark(e)

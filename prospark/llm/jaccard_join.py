@@ -1,12 +1,12 @@
 """N-gram Jaccard self-join of whole texts: rare-first prefix filtering with length, positional and suffix filters.
 
 A text's set holds its distinct k-word shingles (64-bit hashes of lower-cased words).  Shingles are ordered rare first, by
-counts of all texts in 2^16 hash buckets: a bounded table, so it is broadcast, and any order that all texts share keeps the
+counts of all texts in 2^22 hash buckets: a table of 8 MB, so it is broadcast, and any order that all texts share keeps the
 prefix filter exact.  Texts of equal sets are one class from the start.
 
 1. every class representative puts its prefix, the |x| - ceil(t|x|) + 1 rarest shingles, into postings by shingle;
 2. short posting lists give all pairs that pass the length and positional filters; long ones give each member's pair with
-   a pivot of like length and with its neighbour, which is linear in the list;
+   a pivot of like length, which is linear in the list, and lists of the same members choose the same pivot;
 3. distinct pairs pass the suffix filter (shingle counts in hash ranges bound the overlap) and are verified once, exactly;
 4. the links give components; where a long list still holds several components, further rounds choose other pivots, and a
    last round compares all members of different components, block by block.  So no link between different texts is lost,
@@ -15,16 +15,19 @@ prefix filter exact.  Texts of equal sets are one class from the start.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import stored
 from ._words import Block, blocks, mix
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 22
+PART = 1 << 16
 RANGES = 16
 FILTER_BITS = 1 << 25
 
@@ -58,17 +61,43 @@ def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+    """How many texts' shingles fall in each of BUCKETS hash buckets, up to 65535: BUCKETS numbers, whatever the corpus.
+
+    Tasks send their counts in compressed parts; parts of one place are added up twice, by task groups and then together.
+    """
+
+    def packed(part: int, counts: np.ndarray) -> pa.RecordBatch:
+        data = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for block in blocks(batch.column(0)):
-                total += np.bincount((shingle_sets(block, k)[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
+                total += np.bincount((shingle_sets(block, k)[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+        for part in range(BUCKETS // PART):
+            own = total[part * PART : (part + 1) * PART]
+            if own.any():
+                yield packed(part, own)
+
+    def add(batches):
+        last, total = None, np.zeros(PART, np.int64)
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != last and last is not None:
+                    yield packed(last, total)
+                    total[:] = 0
+                last = part
+                total += np.frombuffer(zlib.decompress(data), "<u2")
+        if last is not None:
+            yield packed(last, total)
+
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "part int, data binary")
+    for salt in (F.pmod(F.spark_partition_id(), F.lit(16)), F.lit(0)):
+        parts = parts.withColumn("salt", salt).repartition("part", "salt").sortWithinPartitions("part", "salt").select("part", "data").mapInArrow(add, "part int, data binary")
+    out = np.zeros(BUCKETS, np.uint16)
+    for r in parts.collect():
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(zlib.decompress(r.data), "<u2")
     return out
 
 
@@ -131,14 +160,14 @@ def _pairs(postings: DataFrame, num: int, den: int, short: int) -> DataFrame:
                 elif len(start):
                     i = np.repeat(start, size) + _within(size)
                     yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(np.zeros(len(i), np.int64), mask=np.ones(len(i), bool)), pa.array(h[i]), pa.array(n[i]), pa.array(p[i])], names)
-                    j = i[i != np.repeat(start, size)]
-                    yield from emit(rep, n, p, j - 1, j)
+                    rank = mix(rep.view(np.uint64), 41)
                     for s, z in zip(start, size):
-                        pivot = s
-                        while pivot < s + z:
-                            to = s + int(np.searchsorted(n[s : s + z], den * n[pivot] // num, "right"))
-                            yield from emit(rep, n, p, np.full(to - pivot - 1, pivot), np.arange(pivot + 1, to))
-                            pivot = max(to, pivot + 1)
+                        first = s
+                        while first < s + z:  # members of like length; one pivot for all lists they share
+                            to = s + int(np.searchsorted(n[s : s + z], den * n[first] // num, "right"))
+                            pivot = first + int(np.argmin(rank[first:to]))
+                            yield from emit(rep, n, p, np.full(to - first, pivot), np.arange(first, to))
+                            first = to
 
         def emit(rep, n, p, i, j):
             ok = _passes(n[i], p[i], n[j], p[j], num, den) & (rep[i] != rep[j])
@@ -231,7 +260,7 @@ def _block_pairs(postings: DataFrame, num: int, den: int, block: int) -> DataFra
     return twice.groupBy("shingle", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), short: int = 16, rounds: int = 3, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), short: int = 16, rounds: int = 4, pivots: int = 16, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: linked texts have Jaccard similarity of at least threshold.
 
     Texts with fewer than k words are one shingle; texts without words have n_shingles 0 and are components of their own.
@@ -255,10 +284,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         open_ = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("lo < hi").select("shingle", "blocks")
         long_lists = stored(own.join(open_, "shingle"))
         if round_ <= rounds:
-            # each component's member of the smallest salted hash is its pivot; every member of another component meets it
-            pivot = long_lists.groupBy("shingle", "component").agg(F.min_by(F.struct("rep", "n", "position"), F.xxhash64("rep", F.lit(round_))).alias("p"))
-            pivot = pivot.groupBy("shingle").agg(F.min_by("p", F.xxhash64("component", F.lit(round_))).alias("p"), F.min_by("component", F.xxhash64("component", F.lit(round_))).alias("c"))
-            pairs = long_lists.join(pivot, "shingle").where(F.col("component") != F.col("c"))
+            # every member goes to one of its lists, near copies to the same one, and meets members of `pivots` components
+            one = long_lists.groupBy("rep").agg(F.min_by(F.struct("shingle", "n", "position", "component"), F.xxhash64("shingle", F.lit(round_))).alias("x")).select("rep", "x.*")
+            pivot = one.groupBy("shingle", "component").agg(F.min_by(F.struct("rep", "n", "position"), F.xxhash64("rep", F.lit(round_))).alias("p"))
+            first = Window.partitionBy("shingle").orderBy(F.xxhash64("component", F.lit(round_)), "component")
+            pivot = pivot.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots).select("shingle", "p", F.col("component").alias("c"))
+            pairs = one.join(pivot, "shingle").where(F.col("component") != F.col("c"))
             fits = (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")) & ((num + den) * F.least(F.col("n") - F.col("position"), F.col("p.n") - F.col("p.position")) >= num * (F.col("n") + F.col("p.n")))
             pairs = pairs.where(fits).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
         else:
