@@ -49,7 +49,7 @@ def _keys(edits: int) -> Column:
     return F.array(*out)
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = 20, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 100_000) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = 20, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(hash, first, near) of every distinct line: where it occurs first, and whether an earlier line is near it."""
     if edit_chars < 4 * (edits + 1):
         raise ValueError("edit_chars is too short for so many edits")
