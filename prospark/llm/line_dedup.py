@@ -6,8 +6,8 @@ points on, when some line that first occurs earlier is within `edits` edits of i
 A line of n code points is split into edits + 1 segments.  Two lines within the threshold share a whole segment of the
 shorter one, so segments index the line and the longer line probes, for each length from n - edits to n, the substrings
 at the places where a shared segment can lie (multi-match-aware selection).  All keys go through one shuffle of hashes;
-texts don't.  Within a key each line first meets only the earliest line of the other side, which is linear in the list;
-lines that this doesn't settle meet the rest of their lists.  Candidates are verified by edit distance with a threshold
+texts don't.  Within a key each line first meets only the earliest line, which is linear in the list; lines that this
+doesn't settle meet those of the rest that have nearly the same character counts.  Candidates are verified by edit distance with a threshold
 (Spark's banded levenshtein; the bit-parallel form has no DataFrame function, and the band does the same work bound).
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ._shared import stored
 
 _LINES = 1 << 20  # places of lines within a document in the order of lines
+CLASSES = 16
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -33,47 +34,71 @@ def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, base + F.when(longer >= parts - i, 1).otherwise(0)
 
 
-def _keys(edits: int) -> Column:
-    """array<struct<key,probe>> of a line: its segments, and the substrings it probes with."""
+def _keys(edits: int) -> tuple[Column, int]:
+    """array<key> of a line, and how many of them are its segments: the rest are the substrings it probes with.
+
+    A segment is also the probe of lines of equal length at the same place.  Of two lines of equal length either may be the
+    index, so up to two edits, where such lines differ by one insertion and one deletion, probes go one way only.
+    """
     parts, n, points = edits + 1, F.col("n"), F.col("points")
 
-    def key(length: Column, i: int, shift: int, probe: bool) -> Column:
+    def key(length: Column, i: int, shift: int) -> Column:
         start, size = _segment(length, i, parts)
-        return F.struct(F.xxhash64(F.substring(points, (start + shift) * 4 + 1, size * 4), length, F.lit(i)).alias("key"), F.lit(probe).alias("probe"))
+        return F.xxhash64(F.substring(points, (start + shift) * 4 + 1, size * 4), length, F.lit(i))
 
-    out = [key(n, i, 0, False) for i in range(parts)]
+    out = [key(n, i, 0) for i in range(parts)]
     for less in range(edits + 1):
         for i in range(parts):
             low, high = max(-i, less - (parts - 1 - i)), min(i, less + (parts - 1 - i))
-            out += [key(n - less, i, shift, True) for shift in range(low, high + 1)]
-    return F.array(*out)
+            if less == 0 and edits <= 2:
+                low = 1
+            out += [key(n - less, i, shift) for shift in range(low, high + 1) if less or shift]
+    return F.array(*out), parts
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = 20, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(hash, first, near) of every distinct line: where it occurs first, and whether an earlier line is near it."""
+def duplicate_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = 20, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(hash, first, near) of every distinct line: where it occurs first, and whether an earlier line is near it.
+
+    occurrences are the lines of docs (hash, place).
+    """
     if edit_chars < 4 * (edits + 1):
         raise ValueError("edit_chars is too short for so many edits")
-    lines = _lines(docs, min_chars)
-    first = stored(lines.groupBy("hash").agg(F.min("place").alias("first")))
-    long_ = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= edit_chars).withColumn("points", F.encode("line", "UTF-32"))
-    keyed = long_.select("hash", "place", _keys(edits).alias("keys")).join(first, "hash").where(F.col("place") == F.col("first"))
-    rows = keyed.select("place", F.explode("keys").alias("k")).select("place", "k.key", "k.probe")
+    lines = _lines(docs, min_chars).withColumn("n", F.char_length("line")).where(F.col("n") >= edit_chars)
+    first = stored(occurrences.groupBy("hash").agg(F.min("place").alias("first")))
+    keys, segments = _keys(edits)
+    keyed = lines.withColumn("points", F.encode("line", "UTF-32")).select("place", keys.alias("keys")).join(first.select(F.col("first").alias("place")), "place")
+    rows = keyed.select("place", F.posexplode("keys").alias("i", "key")).select("key", "place", (F.col("i") >= segments).alias("probe"))
+    # segments meet all of their list, probes its segments
     whole = Window.partitionBy("key")
-    other = lambda f: F.when(F.col("probe"), f(F.when(~F.col("probe"), F.col("place"))).over(whole)).otherwise(f(F.when(F.col("probe"), F.col("place"))).over(whole))
-    lists = rows.withColumn("earliest", other(F.min)).withColumn("others", other(F.count))
-    # a line alone meets itself; what is left are lists in which it meets an earlier line
-    met = stored(lists.where("earliest < place or others > 1").select("key", "probe", "place", "earliest", "others"))
-    near = _verified(met.where("earliest < place").select("place", "earliest").distinct(), lines, edits, broadcast_rows)
-    near = stored(near)
+    lists = rows.select("*", F.min("place").over(whole).alias("all"), F.min(F.when(~F.col("probe"), F.col("place"))).over(whole).alias("segment"), F.count("*").over(whole).alias("members"))
+    lists = lists.withColumn("earliest", F.when(F.col("probe"), F.col("segment")).otherwise(F.col("all")))
+    met = stored(lists.where("earliest < place or (members > 2 and segment is not null)").select("key", "probe", "place", "earliest", "members"))
+    near = stored(_verified(met.where("earliest < place").select("place", "earliest").distinct(), lines, edits, broadcast_rows))
     # lists with more than the earliest: only lines that aren't yet known as duplicates need the others
-    rest = met.where("others > 1 and earliest < place").join(near, "place", "left_anti").select("key", "probe", "place", "earliest")
-    opposite = met.select("key", (~F.col("probe")).alias("probe"), F.col("place").alias("before"))
-    pairs = rest.join(opposite, ["key", "probe"]).where("before < place and before != earliest").select("place", F.col("before").alias("earliest")).distinct()
-    more = _verified(stored(pairs), lines, edits, broadcast_rows)
+    rest = met.where("members > 2 and earliest < place").join(near, "place", "left_anti").select("key", "probe", "place", "earliest")
+    more = _verified(_close(rest, met, lines, edits), lines, edits, broadcast_rows)
     near = near.unionByName(more).distinct().withColumn("near", F.lit(True))
     return first.join(near.withColumnRenamed("place", "first"), "first", "left").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
+def _close(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs (place, earliest) of rest with earlier members of their lists whose characters are nearly the same ones.
+
+    An edit changes the counts of characters in CLASSES classes by two in all at most; pairs beyond that aren't made.
+    """
+    rest = stored(rest)
+    lists = met.join(rest.select("key").distinct(), "key", "left_semi").select("key", "probe", "place")
+    members = stored(lists)
+    codes = F.transform(F.split("line", ""), lambda c: F.ascii(c) % CLASSES)
+    counted = lines.join(members.select("place").distinct(), "place").withColumn("codes", codes)
+    counts = stored(counted.select("place", *(F.size(F.filter("codes", lambda c, k=k: c == k)).alias(f"c{k}") for k in range(CLASSES))))
+    one = rest.join(counts, "place")
+    two = members.join(counts, "place").select("key", F.col("probe").alias("other"), F.col("place").alias("before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
+    apart = sum((F.abs(F.col(f"c{k}") - F.col(f"d{k}")) for k in range(1, CLASSES)), F.abs(F.col("c0") - F.col("d0")))
+    both = one.join(two, (one["key"] == two["key"]) & (F.col("before") < F.col("place")) & (F.col("before") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits))
+    return both.select("place", F.col("before").alias("earliest")).distinct()
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     """Places of lines with a pair within the threshold.  Few candidates are sent to the lines, many meet them in a shuffle."""
     pairs = stored(pairs)
@@ -92,8 +117,8 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     duplicate.  Columns of docs named n_lines or dropped are replaced.  Repeated lines within a document go too.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = duplicate_lines(plain, **options)
-    occurrences = _lines(plain, options.get("min_chars", 20)).select("doc_id", "pos", "hash", "place")
+    occurrences = stored(_lines(plain, options.get("min_chars", 20)).select("doc_id", "pos", "hash", "place"))
+    found = duplicate_lines(plain, occurrences, **options)
     cut = occurrences.join(found, "hash").where("near or place != first").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]
     rows = docs.select(*keep).join(cut.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from prospark.llm import line_dedup, pii
 
 
@@ -21,3 +23,38 @@ def test_line_dedup(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert {d: r.dropped for d, r in got.items()} == {1: [], 2: [1], 3: [0], 4: [], None: [], 5: []}
     assert got[2].text == "first" and got[3].text == "short" and got[None].text == line
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Lines of many lengths with up to three edits at any place, short alphabets so that segments recur, and repeated rows."""
+    rng = random.Random(8)
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice(rng.choice(["ab", "abcdefgh é日"])) for _ in range(rng.randint(38, 60)))
+        for _ in range(rng.randint(1, 7)):
+            line = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", "日"])
+            lines.append("".join(line))
+    rng.shuffle(lines)
+    docs = [(d, "\n".join(lines[d * 9 : d * 9 + 9])) for d in range(-(-len(lines) // 9))]
+    got = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").repartition(3)).collect()}
+
+    def distance(x: str, y: str) -> int:
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row = row, [i]
+            for j, b in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+        return row[-1]
+
+    seen: list[str] = []
+    for doc_id, text in docs:
+        want = []
+        for pos, line in enumerate(text.split("\n")):
+            if line in seen or len(line) >= 40 and any(len(x) >= 40 and abs(len(x) - len(line)) <= 2 and distance(x, line) <= 2 for x in seen):
+                want.append(pos)
+            if len(line) >= 20 and line not in seen:
+                seen.append(line)
+        assert got[doc_id] == want
