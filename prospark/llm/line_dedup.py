@@ -7,7 +7,7 @@ A line of n code points is split into edits + 1 segments.  Two lines within the
 shorter one, so segments index the line and the longer line probes, for each length from n - edits to n, the substrings
 at the places where a shared segment can lie (multi-match-aware selection).  All keys go through one shuffle of hashes;
 texts don't.  Within a key each line first meets only the earliest line, which is linear in the list; lines that this
-doesn't settle meet those of the rest that have nearly the same character counts.  Candidates are verified by edit distance with a threshold
+doesn't settle are compared with the rest of their lists, character counts first.  Candidates are verified by edit distance with a threshold
 (Spark's banded levenshtein; the bit-parallel form has no DataFrame function, and the band does the same work bound).
 """
 
@@ -76,27 +76,28 @@ def duplicate_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = 20
     near = stored(_verified(met.where("earliest < place").select("place", "earliest").distinct(), lines, edits, broadcast_rows))
     # lists with more than the earliest: only lines that aren't yet known as duplicates need the others
     rest = met.where("members > 2 and earliest < place").join(near, "place", "left_anti").select("key", "probe", "place", "earliest")
-    more = _verified(_close(rest, met, lines, edits), lines, edits, broadcast_rows)
+    more = _near_in_lists(rest, met, lines, edits)
     near = near.unionByName(more).distinct().withColumn("near", F.lit(True))
     return first.join(near.withColumnRenamed("place", "first"), "first", "left").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def _close(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs (place, earliest) of rest with earlier members of their lists whose characters are nearly the same ones.
+def _near_in_lists(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Places of rest with an earlier line of their lists within the threshold, verified where the lists meet.
 
-    An edit changes the counts of characters in CLASSES classes by two in all at most; pairs beyond that aren't made.
+    An edit changes the counts of characters in CLASSES classes by two in all at most, which is looked at first.  Texts go
+    along with the lists that have such places, so no pairs are written; within a list, all of them are compared.
     """
     rest = stored(rest)
     lists = met.join(rest.select("key").distinct(), "key", "left_semi").select("key", "probe", "place")
     members = stored(lists)
     codes = F.transform(F.split("line", ""), lambda c: F.ascii(c) % CLASSES)
     counted = lines.join(members.select("place").distinct(), "place").withColumn("codes", codes)
-    counts = stored(counted.select("place", *(F.size(F.filter("codes", lambda c, k=k: c == k)).alias(f"c{k}") for k in range(CLASSES))))
+    counts = stored(counted.select("place", "line", *(F.size(F.filter("codes", lambda c, k=k: c == k)).alias(f"c{k}") for k in range(CLASSES))))
     one = rest.join(counts, "place")
-    two = members.join(counts, "place").select("key", F.col("probe").alias("other"), F.col("place").alias("before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
+    two = members.join(counts, "place").select("key", F.col("probe").alias("other"), F.col("place").alias("before"), F.col("line").alias("line_before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
     apart = sum((F.abs(F.col(f"c{k}") - F.col(f"d{k}")) for k in range(1, CLASSES)), F.abs(F.col("c0") - F.col("d0")))
-    both = one.join(two, (one["key"] == two["key"]) & (F.col("before") < F.col("place")) & (F.col("before") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits))
-    return both.select("place", F.col("before").alias("earliest")).distinct()
+    both = one.join(two, (one["key"] == two["key"]) & (F.col("before") < F.col("place")) & (F.col("before") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits) & (F.levenshtein("line", "line_before", edits) >= 0))
+    return both.select("place").distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
