@@ -30,6 +30,7 @@ UNITS = (
 )
 SHORTEST = 4
 BITS = 1 << 25
+BLOCK = 1 << 20  # bytes of whole texts that a task looks at together
 _NUM, _UNIT, _NAME = 1, 2, 3
 _MARKS = mix(np.arange(4).astype(np.uint64), 31)
 
@@ -106,7 +107,7 @@ def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -
 
 def _rows(ids: pa.Array, column: pa.Array, sizes: list[int], own_size: bool, most: int, keep):
     """(id, position, hash, slots, of) batches; own_size: a text of fewer than `most` tokens gives one window, itself."""
-    for block in blocks(column):
+    for block in blocks(column, BLOCK):
         token, kind, value, text = template(block)
         count = np.bincount(text, minlength=block.n) if len(text) else np.zeros(block.n, np.int64)
         begin = np.concatenate(([0], np.cumsum(count)))
