@@ -6,12 +6,17 @@ values are kept as slots.  Windows of `window` template tokens are hashed; windo
 those of the benchmark.  A fixed-size bitmap of the benchmark's windows keeps all but a few other windows out of the
 join, whatever the sizes.  A document and an item match when enough different windows of the item occur in the document
 and the slots agree: along one alignment, equal values of the item stand for equal values of the document.
+
+Names are told by their capitals, so a copy in another case has other template tokens.  Texts therefore also give windows
+of their plain words (lower-cased runs of letters and digits, no placeholders), and enough of these are a match, too.
+What is both re-parameterised and in another case is found only where windows hold no names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,7 @@ SHORTEST = 4
 BITS = 1 << 25
 BLOCK = 1 << 20  # bytes of whole texts that a task looks at together
 _NUM, _UNIT, _NAME = 1, 2, 3
+_TEMPLATE, _PLAIN = 0, 1
 _MARKS = mix(np.arange(4).astype(np.uint64), 31)
 
 
@@ -92,7 +98,25 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return token[keep], kind[keep], value[keep], text[keep]
 
 
-def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def plain(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The plain words of a block of lower-cased texts, as template() gives its tokens."""
+    raw = block.raw
+    good = ((raw >= 0x30) & (raw <= 0x39)) | ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80)
+    mark = np.flatnonzero((raw[:-1] == 0xC2) & ~np.isin(raw[1:], (0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE)))
+    good[mark] = good[mark + 1] = False  # Latin-1 signs
+    mark = np.flatnonzero(((raw[:-2] == 0xE2) & (raw[1:-1] == 0x80)) | ((raw[:-2] == 0xE3) & (raw[1:-1] == 0x80) & (raw[2:] <= 0x83)))
+    good[mark] = good[mark + 1] = good[mark + 2] = False  # dashes, quotes and ideographic stops
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[block.offsets] = True
+    before, after = good & edge[:-1], good & edge[1:]
+    before[1:] |= good[1:] & ~good[:-1]
+    after[:-1] |= good[:-1] & ~good[1:]
+    start, end = np.flatnonzero(before), np.flatnonzero(after) + 1
+    value = hashes(raw, start, end)
+    return value, np.zeros(len(start), np.int8), value, np.searchsorted(block.offsets, start, "right") - 1
+
+
+def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int, form: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """First token and hash of every window of `size` tokens of one text in which words outnumber placeholders."""
     n = max(0, len(token) - size + 1)
     factor = mix(np.arange(size).astype(np.uint64), 32 + size) | np.uint64(1)
@@ -102,40 +126,47 @@ def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -
             value += token[j : j + n] * factor[j]
     slots = np.concatenate(([0], np.cumsum(kind > 0)))
     ok = (text[:n] == text[size - 1 :][:n]) & (2 * (slots[size:][:n] - slots[:n]) < size)
-    return np.flatnonzero(ok), mix(value, 33)[ok]
+    return np.flatnonzero(ok), mix(value, 33 + form)[ok]
+
+
+def _forms(block: Block, column: pa.Array):
+    """(form, tokens) of a block of the column: its template tokens and its plain words."""
+    yield _TEMPLATE, template(block)
+    low = pc.utf8_lower(column.slice(block.first, block.n).cast(pa.large_string()))
+    yield _PLAIN, plain(next(blocks(low, 1 << 40)))
 
 
 def _rows(ids: pa.Array, column: pa.Array, sizes: list[int], own_size: bool, most: int, keep):
-    """(id, position, hash, slots, of) batches; own_size: a text of fewer than `most` tokens gives one window, itself."""
+    """(id, form, position, hash, slots, of) batches; own_size: a text of fewer than `most` tokens gives one window, itself."""
     for block in blocks(column, BLOCK):
-        token, kind, value, text = template(block)
-        count = np.bincount(text, minlength=block.n) if len(text) else np.zeros(block.n, np.int64)
-        begin = np.concatenate(([0], np.cumsum(count)))
-        for size in sizes:
-            first, found = _windows(token, kind, text, size)
-            if own_size and size < most:
-                ok = count[text[first]] == size
+        for form, (token, kind, value, text) in _forms(block, column):
+            count = np.bincount(text, minlength=block.n) if len(text) else np.zeros(block.n, np.int64)
+            begin = np.concatenate(([0], np.cumsum(count)))
+            for size in sizes:
+                first, found = _windows(token, kind, text, size, form)
+                if own_size and size < most:
+                    ok = count[text[first]] == size
+                    first, found = first[ok], found[ok]
+                ok = keep(found)
                 first, found = first[ok], found[ok]
-            ok = keep(found)
-            first, found = first[ok], found[ok]
-            if not len(first):
-                continue
-            spot = first[:, None] + np.arange(size)
-            slot = kind[spot] > 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(slot.sum(1)))), pa.int32()), pa.array(value[spot[slot]].view(np.int64)))
-            owner = text[first]
-            total = np.maximum(count[owner] - size + 1, 1)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + block.first)), pa.array((first - begin[owner]).astype(np.int64)), pa.array(found.view(np.int64)), lists, pa.array(total)], ["id", "position", "hash", "slots", "of"])
+                if not len(first):
+                    continue
+                spot = first[:, None] + np.arange(size)
+                slot = kind[spot] > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(slot.sum(1)))), pa.int32()), pa.array(value[spot[slot]].view(np.int64)))
+                owner = text[first]
+                total = np.maximum(count[owner] - size + 1, 1)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + block.first)), pa.array(np.full(len(first), form)), pa.array((first - begin[owner]).astype(np.int64)), pa.array(found.view(np.int64)), lists, pa.array(total)], ["id", "form", "position", "hash", "slots", "of"])
 
 
-_SCHEMA = "id long, position long, hash long, slots array<long>, of long"
+_SCHEMA = "id long, form long, position long, hash long, slots array<long>, of long"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6) -> DataFrame:
     """One row per contaminated (doc_id, item_id): matched windows, those of the item, slot values, and where it starts.
 
     A pair counts when at least min(least, windows of the item) different windows of the item match along alignments whose
-    slots agree.  Items of fewer than `window` template tokens are one window; of fewer than 4, they match nothing.  Null
+    slots agree, or of its plain words; what is told is of the template where that matches.  Items of fewer than `window` template tokens are one window; of fewer than 4, they match nothing.  Null
     texts and null ids match nothing, repeated rows of a document count once, other columns are ignored.
     """
     sizes = list(range(SHORTEST, window + 1))
@@ -144,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
         for batch in batches:
             yield from _rows(batch.column(0), batch.column(1), sizes, True, window, lambda h: np.ones(len(h), bool))
 
-    asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(items, _SCHEMA)
+    asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(items, _SCHEMA)
     bit = F.pmod(F.col("hash"), F.lit(BITS))
     bitmap = np.zeros(BITS // 8, np.uint8)
     for r in asked.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("bucket")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).collect():
@@ -159,16 +190,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
         for batch in batches:
             yield from _rows(batch.column(0), batch.column(1), sizes, False, window, keep)
 
-    found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(texts, _SCHEMA)
-    both = found.select(F.col("id").alias("doc_id"), "hash", F.col("position").alias("at"), F.col("slots").alias("doc_slots")).join(asked.select(F.col("id").alias("item_id"), "hash", "position", "slots", "of"), "hash")
+    found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(texts, _SCHEMA)
+    both = found.select(F.col("id").alias("doc_id"), "hash", F.col("position").alias("at"), F.col("slots").alias("doc_slots")).join(asked.select(F.col("id").alias("item_id"), "form", "hash", "position", "slots", "of"), "hash")
     both = both.withColumn("shift", F.col("at") - F.col("position"))
     # along one alignment, a value of the item may stand for one value of the document only
-    pairs = both.where(F.size("slots") > 0).select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "doc_slots")).alias("p")).groupBy("doc_id", "item_id", "shift", F.col("p.slots").alias("v")).agg((F.min("p.doc_slots") == F.max("p.doc_slots")).alias("one"))
-    slots = pairs.groupBy("doc_id", "item_id", "shift").agg(F.bool_and("one").alias("agree"), F.count("*").alias("values"))
-    lines = both.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("position").alias("positions"), F.max("of").alias("of"), F.min("at").alias("at"))
-    good = lines.join(slots, ["doc_id", "item_id", "shift"], "left").where(F.coalesce("agree", F.lit(True)))
-    out = good.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_windows"), F.max("of").alias("item_windows"), F.coalesce(F.max("values"), F.lit(0)).cast("long").alias("n_slot_values"), F.min("at").alias("first_token"))
-    return out.where(F.col("n_windows") >= F.least(F.lit(least), "item_windows"))
+    line = ["doc_id", "item_id", "form", "shift"]
+    pairs = both.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("slots", "doc_slots")).alias("p")).groupBy(*line, F.col("p.slots").alias("v")).agg((F.min("p.doc_slots") == F.max("p.doc_slots")).alias("one"))
+    slots = pairs.groupBy(*line).agg(F.bool_and("one").alias("agree"), F.count("*").alias("values"))
+    lines = both.groupBy(*line).agg(F.collect_set("position").alias("positions"), F.max("of").alias("of"), F.min("at").alias("at"))
+    good = lines.join(slots, line, "left").where(F.coalesce("agree", F.lit(True)))
+    told = good.groupBy("doc_id", "item_id", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_windows"), F.max("of").alias("item_windows"), F.coalesce(F.max("values"), F.lit(0)).cast("long").alias("n_slot_values"), F.min("at").alias("first_token"))
+    enough = told.where(F.col("n_windows") >= F.least(F.lit(least), "item_windows"))
+    return enough.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", "n_windows", "item_windows", "n_slot_values", "first_token")).alias("m")).select("doc_id", "item_id", "m.n_windows", "m.item_windows", "m.n_slot_values", "m.first_token")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -141,6 +141,18 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(odd, bench).count() == odd.count()
 
 
+def test_copies_in_another_case(spark):
+    item = "Train A leaves Lyon at 9 hours with 120 people, then Paul meets Marie; how many people does Paul see after Marie leaves?"
+    greek = "Ο Πέτρος πηγαίνει στην Αθήνα και η Μαρία πηγαίνει στην Πάτρα το ίδιο πρωί του Μαΐου"
+    texts = [item.upper(), item.lower(), "so \u201c" + item.title() + "\u201d he said", greek.upper().replace("Σ", "σ"), item.lower().replace("120", "85"), "Train a late", "\u3000", "A"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, greek.replace("ς", "σ"))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()}
+    assert {(0, 7), (1, 7), (2, 7), (3, 8)} <= got and not {d for d, _ in got} & {5, 6, 7}
+    raw = df.where("doc_id = 0").selectExpr("doc_id", "cast(concat(cast(text as binary), x'20ff') as string) as text")
+    assert decontamination.matches(raw, bench).count() == 1
+
+
 def test_whole_items_are_found(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text.lower().split()) for r in bench.collect()]
