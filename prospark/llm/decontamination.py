@@ -37,7 +37,7 @@ SHORTEST = 4
 BITS = 1 << 25
 BLOCK = 1 << 20  # bytes of whole texts that a task looks at together
 _NUM, _UNIT, _NAME = 1, 2, 3
-_TEMPLATE, _PLAIN = 0, 1
+_TEMPLATE, _PLAIN, _INSIDE, _COUNTED = range(4)
 _MARKS = mix(np.arange(4).astype(np.uint64), 31)
 
 
@@ -54,8 +54,11 @@ def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
-def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a block's texts: token hash, kind (0: a word), value hash, and the text each is of."""
+def template(block: Block, form: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of a block's texts: token hash, kind (0: a word), value hash, and the text each is of.
+
+    form: how the first word of a text is read: at the start of a sentence, inside one, or after a number.
+    """
     block.words()
     raw = block.raw
     if not len(block.starts):
@@ -79,6 +82,10 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     start, end, text, opens = start[has], end[has], text[has], opens[has]
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    head = np.ones(len(start), bool)  # the first word of a text
+    head[1:] = text[1:] != text[:-1]
+    if form == _INSIDE:
+        opens &= ~head
     value = hashes(low, start, end)
     upper = ((raw[start] >= 0x41) & (raw[start] <= 0x5A)) | ((raw[start] == 0xC3) & (raw[np.minimum(start + 1, len(raw) - 1)] >= 0x80) & (raw[np.minimum(start + 1, len(raw) - 1)] <= 0x9E))
     small = (raw >= 0x61) & (raw <= 0x7A)
@@ -88,8 +95,9 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     kind[upper & ~opens & (small[end] > small[start])] = _NAME  # a word all in capitals isn't told to be a name
     kind[digit[start] | _in(value, _NUMBERS)] = _NUM
     unit = _in(value, _UNITS)
-    unit[0] = False
-    unit[1:] &= (kind[:-1] == _NUM) & (text[1:] == text[:-1])
+    counted = np.zeros(len(start), bool)
+    counted[1:] = (kind[:-1] == _NUM) & ~head[1:]
+    unit &= counted | head if form == _COUNTED else counted
     kind[unit] = _UNIT
     again = np.zeros(len(start), bool)  # a further part of a name
     again[1:] = (kind[1:] == _NAME) & (kind[:-1] == _NAME) & (text[1:] == text[:-1])
@@ -116,7 +124,7 @@ def plain(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return value, np.zeros(len(start), np.int8), value, np.searchsorted(block.offsets, start, "right") - 1
 
 
-def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int, form: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """First token and hash of every window of `size` tokens of one text in which words outnumber placeholders."""
     n = max(0, len(token) - size + 1)
     factor = mix(np.arange(size).astype(np.uint64), 32 + size) | np.uint64(1)
@@ -126,27 +134,37 @@ def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int, f
             value += token[j : j + n] * factor[j]
     slots = np.concatenate(([0], np.cumsum(kind > 0)))
     ok = (text[:n] == text[size - 1 :][:n]) & (2 * (slots[size:][:n] - slots[:n]) < size)
-    return np.flatnonzero(ok), mix(value, 33 + form)[ok]
+    return np.flatnonzero(ok), mix(value, 33 + salt)[ok]
 
 
-def _forms(block: Block, column: pa.Array):
-    """(form, tokens) of a block of the column: its template tokens and its plain words."""
-    yield _TEMPLATE, template(block)
+def _forms(block: Block, column: pa.Array, item: bool):
+    """(form, tokens) of a block of the column: its template tokens and its plain words; for items, also other first tokens.
+
+    Inside a sentence a capitalised first word is a name, which goes on in names after it, and after a number a unit.
+    """
+    for form in (_TEMPLATE, _INSIDE, _COUNTED) if item else (_TEMPLATE,):
+        yield form, template(block, form)
     low = pc.utf8_lower(column.slice(block.first, block.n).cast(pa.large_string()))
     yield _PLAIN, plain(next(blocks(low, 1 << 40)))
 
 
 def _rows(ids: pa.Array, column: pa.Array, sizes: list[int], own_size: bool, most: int, keep):
-    """(id, form, position, hash, slots, of) batches; own_size: a text of fewer than `most` tokens gives one window, itself."""
+    """(id, form, position, hash, slots, of, need) batches; own_size: a text of fewer than `most` tokens gives one window, itself.
+
+    of: the text's windows; need: those that touch neither its first nor its last token, which may differ in a copy, or one.
+    """
     for block in blocks(column, BLOCK):
-        for form, (token, kind, value, text) in _forms(block, column):
+        for form, (token, kind, value, text) in _forms(block, column, own_size):
             count = np.bincount(text, minlength=block.n) if len(text) else np.zeros(block.n, np.int64)
             begin = np.concatenate(([0], np.cumsum(count)))
             for size in sizes:
-                first, found = _windows(token, kind, text, size, form)
+                first, found = _windows(token, kind, text, size, int(form == _PLAIN))
                 if own_size and size < most:
                     ok = count[text[first]] == size
                     first, found = first[ok], found[ok]
+                owner = text[first]
+                of = np.bincount(owner, minlength=block.n)
+                need = np.bincount(owner[(first > begin[owner]) & (first + size < begin[owner + 1])], minlength=block.n)
                 ok = keep(found)
                 first, found = first[ok], found[ok]
                 if not len(first):
@@ -155,18 +173,19 @@ def _rows(ids: pa.Array, column: pa.Array, sizes: list[int], own_size: bool, mos
                 slot = kind[spot] > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(slot.sum(1)))), pa.int32()), pa.array(value[spot[slot]].view(np.int64)))
                 owner = text[first]
-                total = np.maximum(count[owner] - size + 1, 1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + block.first)), pa.array(np.full(len(first), form)), pa.array((first - begin[owner]).astype(np.int64)), pa.array(found.view(np.int64)), lists, pa.array(total)], ["id", "form", "position", "hash", "slots", "of"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + block.first)), pa.array(np.full(len(first), form)), pa.array((first - begin[owner]).astype(np.int64)), pa.array(found.view(np.int64)), lists, pa.array(of[owner]), pa.array(np.maximum(need[owner], 1))], ["id", "form", "position", "hash", "slots", "of", "need"])
 
 
-_SCHEMA = "id long, form long, position long, hash long, slots array<long>, of long"
+_SCHEMA = "id long, form long, position long, hash long, slots array<long>, of long, need long"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6) -> DataFrame:
     """One row per contaminated (doc_id, item_id): matched windows, those of the item, slot values, and where it starts.
 
-    A pair counts when at least min(least, windows of the item) different windows of the item match along alignments whose
-    slots agree, or of its plain words; what is told is of the template where that matches.  Items of fewer than `window` template tokens are one window; of fewer than 4, they match nothing.  Null
+    A window counts if words outnumber its placeholders.  A pair counts when at least min(least, windows of the item that
+    touch neither its first nor its last token; one at least) different windows of the item match along alignments whose
+    slots agree, or of its plain words, which are all that items of placeholders have; what is told is of the template
+    where that matches.  Items of fewer than `window` tokens are one window; of fewer than 4, they match nothing.  Null
     texts and null ids match nothing, repeated rows of a document count once, other columns are ignored.
     """
     sizes = list(range(SHORTEST, window + 1))
@@ -191,16 +210,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
             yield from _rows(batch.column(0), batch.column(1), sizes, False, window, keep)
 
     found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(texts, _SCHEMA)
-    both = found.select(F.col("id").alias("doc_id"), "hash", F.col("position").alias("at"), F.col("slots").alias("doc_slots")).join(asked.select(F.col("id").alias("item_id"), "form", "hash", "position", "slots", "of"), "hash")
+    both = found.select(F.col("id").alias("doc_id"), "hash", F.col("position").alias("at"), F.col("slots").alias("doc_slots")).join(asked.select(F.col("id").alias("item_id"), "form", "hash", "position", "slots", "of", "need"), "hash")
     both = both.withColumn("shift", F.col("at") - F.col("position"))
     # along one alignment, a value of the item may stand for one value of the document only
     line = ["doc_id", "item_id", "form", "shift"]
     pairs = both.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("slots", "doc_slots")).alias("p")).groupBy(*line, F.col("p.slots").alias("v")).agg((F.min("p.doc_slots") == F.max("p.doc_slots")).alias("one"))
     slots = pairs.groupBy(*line).agg(F.bool_and("one").alias("agree"), F.count("*").alias("values"))
-    lines = both.groupBy(*line).agg(F.collect_set("position").alias("positions"), F.max("of").alias("of"), F.min("at").alias("at"))
+    lines = both.groupBy(*line).agg(F.collect_set("position").alias("positions"), F.max("of").alias("of"), F.max("need").alias("need"), F.min("at").alias("at"))
     good = lines.join(slots, line, "left").where(F.coalesce("agree", F.lit(True)))
-    told = good.groupBy("doc_id", "item_id", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_windows"), F.max("of").alias("item_windows"), F.coalesce(F.max("values"), F.lit(0)).cast("long").alias("n_slot_values"), F.min("at").alias("first_token"))
-    enough = told.where(F.col("n_windows") >= F.least(F.lit(least), "item_windows"))
+    told = good.groupBy("doc_id", "item_id", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_windows"), F.max("of").alias("item_windows"), F.max("need").alias("need"), F.coalesce(F.max("values"), F.lit(0)).cast("long").alias("n_slot_values"), F.min("at").alias("first_token"))
+    enough = told.where(F.col("n_windows") >= F.least(F.lit(least), "need"))
     return enough.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", "n_windows", "item_windows", "n_slot_values", "first_token")).alias("m")).select("doc_id", "item_id", "m.n_windows", "m.item_windows", "m.n_slot_values", "m.first_token")
 
 

@@ -153,6 +153,31 @@ def test_copies_in_another_case(spark):
     assert decontamination.matches(raw, bench).count() == 1
 
 
+def test_short_items_and_items_of_placeholders(spark):
+    items = {
+        1: "What is 12 + 7 - 3 * 4 / 2?",
+        2: "3, 5, 8, 13, 21, 34, 55, 89, 144, 233",
+        3: "Trains leave the old town at 9 daily",
+        4: "Paris was once the largest of all towns here",
+        5: "In winter the old mill stands still for 3 months",
+        6: "Compute the exact sum of the following numbers: 4 8 15 16 23 42 4 8 15 16 23 42",
+    }
+    docs = {
+        **{k: f"He wrote:{v}Then he left." if k < 3 else v for k, v in items.items()},
+        11: "What is 13 + 7 - 3 * 4 / 2?",
+        12: "3, 5, 8, 13, 22, 34, 55, 89, 144, 233",
+        13: "as we know Trains leave the old town at 7 daily or so",
+        14: "they say that King Paris was once the largest of all towns here and so on",
+        15: "Question 5. In winter the old mill stands still for 4 months, why?",
+        16: "Compute the exact sum of the following numbers: 5 9 16 17 24 43 5 9 16 17 24 43",
+        17: "the old town at 9 and the old mill stands",
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()}
+    assert got == {(k, k) for k in items} | {(13, 3), (14, 4), (15, 5), (16, 6)}
+
+
 def test_whole_items_are_found(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text.lower().split()) for r in bench.collect()]
