@@ -151,7 +151,11 @@ class Encoder:
                 new = np.flatnonzero((found < 0) & ~own)
                 self._learn(keys[new], [data[a:b] for a, b in zip(first[where[new]].tolist(), end[where[new]].tolist())])
                 found = self._find(keys)
-        start, length, ids = self.at[found], self.len[found], self.ids
+        ids = self.ids
+        if len(self.keys):
+            start, length = self.at[found], self.len[found]
+        else:  # nothing but words that go to the library whole has been met
+            start, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         if len(strange):
             data = raw.tobytes()
             whole = [self._whole(data[a:b]) for a, b in zip(first[strange].tolist(), end[strange].tolist())]

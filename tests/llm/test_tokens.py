@@ -31,6 +31,14 @@ def test_encoder_is_exact(library):
     assert [x.tolist() for x in got] == [library(t) for t in texts]
 
 
+def test_encoder_that_first_meets_only_whole_words(library):
+    import public_tokenizers
+
+    fresh = Encoder(public_tokenizers.path(TOKENIZER))
+    for texts in (["日本語 テキスト", None, " ", "it's", "日本語"], ["then plain words 日本語"]):
+        assert [x.tolist() for x in fresh.encode(pa.array(texts))] == [library(t) for t in texts]
+
+
 def test_encoder_with_a_small_table(library):
     import public_tokenizers
 
