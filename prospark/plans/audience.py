@@ -176,10 +176,13 @@ def hashed_ingest(spark, d):
 with e as (select *, user_id = lag(user_id) over (order by event_id) as x from events)
 select event_type, bool_and(coalesce(value > prev, true)) as increasing, count(*) as n from (select *, lag(value) over (partition by event_type order by event_id) as prev from events) group by 1""")
 def increasing_columns(spark, d):
-    """Whether a column strictly increases in row order, as a running number does."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    e = _events(spark, d).withColumn("ok", F.coalesce(F.col("value") > F.lag("value").over(w), F.lit(True)))
-    return e.groupBy("event_type").agg(F.bool_and("ok").alias("increasing"), F.count("*").alias("n"))
+    """Whether a column strictly increases in row order, as a running number does: within ranges of ids, then between their ends."""
+    e = _events(spark, d).select("event_type", "event_id", "value").repartitionByRange("event_id").withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy("event_type", "part").orderBy("event_id")
+    e = e.withColumn("ok", F.coalesce(F.col("value") > F.lag("value").over(w), F.lit(True)))
+    parts = e.groupBy("event_type", "part").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("n"), F.min_by("value", "event_id").alias("first"), F.max_by("value", "event_id").alias("last"))
+    ends = F.coalesce(F.col("first") > F.lag("last").over(Window.partitionBy("event_type").orderBy("part")), F.lit(True))
+    return parts.withColumn("ok", F.col("ok") & ends).groupBy("event_type").agg(F.bool_and("ok").alias("increasing"), F.sum("n").alias("n"))
 
 
 @query("""

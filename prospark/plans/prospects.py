@@ -214,9 +214,9 @@ with f as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (parti
 select f.o_custkey, coalesce(max(f.o_orderkey) filter (f.n = l.n), max(f.o_orderkey) filter (f.n = 1)) as picked, any_value(l.n is not null) as is_local, count(*) as places from f left join l on f.o_custkey = l.o_custkey group by 1""")
 def flatten_reference(spark, d):
     """From nested establishments: the first local one in order, else the seat (the first)."""
-    nested = load(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("places"))
-    local = F.get(F.filter("places", lambda p: p.o_orderstatus == "F"), F.lit(0))
-    return nested.select("o_custkey", F.coalesce(local.o_orderkey, F.get("places", F.lit(0)).o_orderkey).alias("picked"), local.isNotNull().alias("is_local"), F.size("places").cast("bigint").alias("places"))
+    local = F.col("o_orderstatus") == "F"
+    picked = F.coalesce(F.min(F.when(local, F.col("o_orderkey"))), F.min("o_orderkey"))
+    return load(spark, d, "orders").groupBy("o_custkey").agg(picked.alias("picked"), (F.count_if(local) > 0).alias("is_local"), F.count("*").alias("places"))
 
 
 @query("""with l(code, label) as (values ('ECONOMY', 'Economy form'), ('STANDARD', 'Standard form')) select p_partkey, coalesce(label, p_type) as label from part left join l on code = p_type""")

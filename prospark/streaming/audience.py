@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,15 @@ def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
-def daily(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """Views and exact distinct visitors a day; a day is final when the watermark has passed it."""
-    days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
-    return days.agg(F.count("*").alias("views"), F.size(F.collect_set("user_id")).cast("bigint").alias("visitors")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "views", "visitors")
+def daily_visits(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """Views a day and visitor, one row of state each; a day is final when the watermark has passed it."""
+    days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "user_id")
+    return days.agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "user_id", "n")
+
+
+def daily(visits: DataFrame) -> DataFrame:
+    """Views and exact distinct visitors a day, from what daily_visits gave."""
+    return visits.groupBy("day").agg(F.sum("n").alias("views"), F.count("user_id").alias("visitors"))
 
 
 def once(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -33,10 +39,21 @@ def flush_batches(stream: DataFrame, write, checkpoint: str, every: str = "10 se
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, by one available-now run into a table of this session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is there now, by one available-now run into Parquet below spark.checkpoint.dir (if unset, a temporary folder)."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    written: dict[int, str] = {}
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{i}")
+        written[i] = f"{path}/{i}"
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    # in complete mode each batch holds all rows
+    return spark.read.schema(stream.schema).parquet(*([written[max(written)]] if mode == "complete" else written.values()))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +63,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select strftime(ts, '%Y-%m-%d') as day, count(*) as views, count(distinct user_id) as visitors from events group by 1""")
 def stream_daily(spark, d):
-    return drain(daily(_stream(spark, d)), "complete")
+    return daily(drain(daily_visits(_stream(spark, d)), "complete"))
 
 
 @query("""select event_type, count(distinct event_id) as n from events group by 1""")
