@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
         return r.n, r.s
 
     parts = max(1, -(-edges.count() // PART))
-    e = edges.select("a", "b").coalesce(parts).mapInArrow(_local, "u long, v long")
+    e = (edges.select("a", "b").coalesce(1) if parts == 1 else edges.select("a", "b").repartition(parts)).mapInArrow(_local, "u long, v long")
     e = stored(e if parts == 1 else e.distinct())
     seen = mark(e) if parts > 1 else (0, None)  # the edges of a single part are stars already
     while seen[0]:

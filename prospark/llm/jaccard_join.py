@@ -1,25 +1,30 @@
 """N-gram Jaccard self-join of whole texts: rare-first prefix filtering with length, positional and suffix filters.
 
 A text's set holds its distinct k-word shingles (64-bit hashes of lower-cased words).  Shingles are ordered rare first, by
-counts of all texts in 2^22 hash buckets: a table of 8 MB, so it is broadcast, and any order that all texts share keeps the
+counts of all texts in 2^22 hash buckets: a table of 16 MB, so it is broadcast, and any order that all texts share keeps the
 prefix filter exact.  Texts of equal sets are one class from the start.
 
-1. every class representative puts its prefix, the |x| - ceil(t|x|) + 1 rarest shingles, into postings by shingle;
+1. every class representative puts its prefix, the |x| - ceil(t|x|) + 1 rarest shingles, into postings by shingle; lists
+   that could be longer than `split` are dealt over several tasks;
 2. short posting lists give all pairs that pass the length and positional filters; long ones give each member's pair with
    a pivot of like length, which is linear in the list, and lists of the same members choose the same pivot;
-3. distinct pairs pass the suffix filter (shingle counts in hash ranges bound the overlap) and are verified once, exactly;
-4. the links give components; where a long list still holds several components, further rounds choose other pivots, and a
-   last round compares all members of different components, block by block.  So no link between different texts is lost,
-   and members of one component are never paired again.
+3. distinct pairs pass the suffix filter and are verified once, exactly.  The suffix filter is a sketch of fixed size: the
+   parity of a set's members in each of 1024 hash ranges.  Where two sketches differ, a range holds a member of one set
+   only, so their distance is a lower bound of the symmetric difference, and close to it for sets of usual sizes;
+4. the links give components.  Long lists that still hold several components are compared block by block, where only
+   members of different components that pass all filters, the sketch among them, become pairs.  First each block gives no
+   more than a forest over its components; a last step gives every pair that is left.  So no link between different texts is
+   lost, and members of one component are never paired again.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -28,8 +33,9 @@ from ._words import Block, blocks, mix
 
 BUCKETS = 1 << 22
 PART = 1 << 16
-RANGES = 16
+SKETCH = 16  # 64-bit words of a sketch
 FILTER_BITS = 1 << 25
+BLOCK = 1 << 20  # bytes of whole texts that a task looks at together
 
 
 def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +66,44 @@ def shingle_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.bincount(owner, minlength=block.n)
 
 
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary column whose row i is data[at[i]:at[i + 1]]."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * data.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _sketches(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of SKETCH words: bit r is the parity of a set's members in hash range r.  value: ascending sets."""
+    out = np.zeros((len(size), SKETCH), np.uint64)
+    if len(value):
+        cell = np.repeat(np.arange(len(size)), size) * SKETCH + (value >> np.uint64(60)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        out.reshape(-1)[cell[start]] = np.bitwise_xor.reduceat(np.uint64(1) << ((value >> np.uint64(54)) & np.uint64(63)), start)
+    return out
+
+
+def _read_sketches(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros((0, SKETCH), np.uint64)
+    at = int(np.frombuffer(column.buffers()[1], np.int64)[column.offset])
+    return np.frombuffer(column.buffers()[2], np.uint8)[at : at + 8 * SKETCH * len(column)].copy().view(np.uint64).reshape(-1, SKETCH)
+
+
 def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """How many texts' shingles fall in each of BUCKETS hash buckets, up to 65535: BUCKETS numbers, whatever the corpus.
+    """How many texts' shingles fall in each of BUCKETS hash buckets: BUCKETS numbers, whatever the corpus.
 
     Tasks send their counts in compressed parts; parts of one place are added up twice, by task groups and then together.
     """
 
     def packed(part: int, counts: np.ndarray) -> pa.RecordBatch:
-        data = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
+        data = zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
 
     def count(batches):
         total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                total += np.bincount((shingle_sets(block, k)[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            for block in blocks(batch.column(0), BLOCK):
+                np.add.at(total, (shingle_sets(block, k)[0] % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
         for part in range(BUCKETS // PART):
             own = total[part * PART : (part + 1) * PART]
             if own.any():
@@ -88,42 +117,49 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
                     yield packed(last, total)
                     total[:] = 0
                 last = part
-                total += np.frombuffer(zlib.decompress(data), "<u2")
+                total += np.frombuffer(zlib.decompress(data), "<u4")
         if last is not None:
             yield packed(last, total)
 
     parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "part int, data binary")
     for salt in (F.pmod(F.spark_partition_id(), F.lit(16)), F.lit(0)):
         parts = parts.withColumn("salt", salt).repartition("part", "salt").sortWithinPartitions("part", "salt").select("part", "data").mapInArrow(add, "part int, data binary")
-    out = np.zeros(BUCKETS, np.uint16)
+    out = np.zeros(BUCKETS, np.uint32)
     for r in parts.collect():
-        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(zlib.decompress(r.data), "<u2")
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(zlib.decompress(r.data), "<u4")
     return out
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, ranges) of every text: k1 and k2 tell sets apart, ranges are counts by hash range."""
+def prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, split: int) -> DataFrame:
+    """(doc_id, n, k1, k2, prefix, hot, slots, sketch) of every text: k1 and k2 tell sets apart.
+
+    Shingles whose bucket counts more than `split` are the last of a prefix: they are in hot, each with its number of slots.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK):
                 value, size = shingle_sets(block, k)
                 owner = np.repeat(np.arange(block.n), size)
                 at = np.concatenate(([0], np.cumsum(size)))
                 with np.errstate(over="ignore"):
                     keys = [np.add.reduceat(np.append(mix(value, s), np.uint64(0)), np.minimum(at[:-1], len(value))) * (size > 0) for s in (21, 22)]
-                ranges = np.bincount(owner * RANGES + (value >> np.uint64(60)).astype(np.int64), minlength=block.n * RANGES).reshape(-1, RANGES).astype("<i4")
-                rare = value[np.lexsort((value, sent.value[(value % np.uint64(BUCKETS)).astype(np.int64)], owner))]
+                order = np.lexsort((value, sent.value[(value % np.uint64(BUCKETS)).astype(np.int64)], owner))
                 length = np.where(size > 0, size - (num * size + den - 1) // den + 1, 0)
-                keep = np.arange(len(rare)) - np.repeat(at[:-1], size) < np.repeat(length, size)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(rare[keep].view(np.int64)))
+                kept = order[np.arange(len(order)) - np.repeat(at[:-1], size) < np.repeat(length, size)]
+                slots = sent.value[(value[kept] % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64) // split + 1
+                lists = []
+                for some, column in ((slots == 1, value[kept].view(np.int64)), (slots > 1, value[kept].view(np.int64)), (slots > 1, slots)):
+                    per = np.bincount(owner[kept[some]], minlength=block.n)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(column[some])))
+                sketch = _sketches(value, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.n), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in keys), prefix, pa.array([r.tobytes() for r in ranges], pa.binary())],
-                    ["doc_id", "n", "k1", "k2", "prefix", "ranges"],
+                    [batch.column(0).slice(block.first, block.n), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in keys), *lists, _binary(sketch, np.arange(block.n + 1) * SKETCH)],
+                    ["doc_id", "n", "k1", "k2", "prefix", "hot", "slots", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, ranges binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, hot array<long>, slots array<long>, sketch binary")
 
 
 def _passes(n1, p1, n2, p2, num: int, den: int):
@@ -132,81 +168,79 @@ def _passes(n1, p1, n2, p2, num: int, den: int):
     return fits & ((num + den) * np.minimum(n1 - p1, n2 - p2) >= num * (n1 + n2))
 
 
-def _pairs(postings: DataFrame, num: int, den: int, short: int) -> DataFrame:
-    """(a, b) candidates of postings (shingle, rep, n, position), and the postings of long lists (b null)."""
+def _near(x: np.ndarray, y: np.ndarray, n1, n2, num: int, den: int) -> np.ndarray:
+    """Suffix filter: sketches x and y don't differ in more places than the symmetric difference of linked sets has members."""
+    return (num + den) * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (den - num) * (n1 + n2)
 
-    def run(batches):
-        held = None
-
-        def lists(cols, last: bool):
-            nonlocal held
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            h, rep, n, p = cols
-            if not len(h):
-                return
-            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            if not last:
-                cut = start[-1]
-                held = [c[cut:] for c in cols]
-                h, rep, n, p, start = h[:cut], rep[:cut], n[:cut], p[:cut], start[:-1]
-            size = np.diff(np.append(start, len(h)))
-            for start, size, some in ((start[size <= short], size[size <= short], True), (start[size > short], size[size > short], False)):
-                if some:
-                    for gap in range(1, short):
-                        # all pairs of short lists whose members are `gap` apart
-                        i = np.repeat(start, np.maximum(size - gap, 0)) + _within(np.maximum(size - gap, 0))
-                        yield from emit(rep, n, p, i, i + gap)
-                elif len(start):
-                    i = np.repeat(start, size) + _within(size)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(np.zeros(len(i), np.int64), mask=np.ones(len(i), bool)), pa.array(h[i]), pa.array(n[i]), pa.array(p[i])], names)
-                    rank = mix(rep.view(np.uint64), 41)
-                    for s, z in zip(start, size):
-                        first = s
-                        while first < s + z:  # members of like length; one pivot for all lists they share
-                            to = s + int(np.searchsorted(n[s : s + z], den * n[first] // num, "right"))
-                            pivot = first + int(np.argmin(rank[first:to]))
-                            yield from emit(rep, n, p, np.full(to - first, pivot), np.arange(first, to))
-                            first = to
-
-        def emit(rep, n, p, i, j):
-            ok = _passes(n[i], p[i], n[j], p[j], num, den) & (rep[i] != rep[j])
-            if ok.any():
-                a, b = np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]
-                null = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), null, null, null], names)
-
-        names = ["a", "b", "shingle", "n", "position"]
-        for batch in batches:
-            yield from lists([c.to_numpy(zero_copy_only=False) for c in batch.columns], False)
-        if held is not None:
-            rest, held = held, None
-            yield from lists(rest, True)
 
-    ordered = postings.select("shingle", "rep", "n", F.col("position").cast("long").alias("position")).repartition("shingle").sortWithinPartitions("shingle", "n", "rep")
-    return ordered.mapInArrow(run, "a long, b long, shingle long, n long, position long")
+def _groups(batches, read, keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of sorted batches, and where groups (rows of equal first `keys` columns) start in them; no group is cut."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = read(batch)
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0))))
+        held = [c[start[-1] :] for c in cols]
+        if len(start) > 1:
+            yield [c[: start[-1]] for c in cols], start[:-1]
+    if held is not None and len(held[0]):
+        yield held, np.zeros(1, np.int64)
 
 
 def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of different texts whose sets have den * overlap >= num * union; each is looked at once."""
+def _pairs(postings: DataFrame, num: int, den: int, short: int) -> DataFrame:
+    """(a, b) candidates of postings (shingle, slot, rep, n, position), and the postings of long lists (b null).
 
-    def overlap_fits(batches):
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, RANGES) for i in (2, 3))
-            most = np.minimum(one, two).sum(1)
-            ok = (num + den) * most >= num * (one.sum(1) + two.sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+    Slots are parts of one list: -1 is all of it.
+    """
+    names = ["a", "b", "shingle", "n", "position"]
+
+    def emit(rep, n, p, i, j):
+        ok = _passes(n[i], p[i], n[j], p[j], num, den) & (rep[i] != rep[j])
+        if ok.any():
+            a, b = np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]
+            null = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), null, null, null], names)
+
+    def run(batches):
+        for (h, slot, n, rep, p), start in _groups(batches, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns], 2):
+            size = np.diff(np.append(start, len(h)))
+            few = (size <= short) & (slot[start] < 0)
+            some, sizes = start[few], size[few]
+            for gap in range(1, short):  # all pairs of short lists whose members are `gap` apart
+                i = np.repeat(some, np.maximum(sizes - gap, 0)) + _within(np.maximum(sizes - gap, 0))
+                yield from emit(rep, n, p, i, i + gap)
+            some, sizes = start[~few], size[~few]
+            if not len(some):
+                continue
+            i = np.repeat(some, sizes) + _within(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.nulls(len(i), pa.int64()), pa.array(h[i]), pa.array(n[i]), pa.array(p[i])], names)
+            rank = mix(rep.view(np.uint64), 41)
+            for s, z in zip(some, sizes):
+                first = s
+                while first < s + z:  # members of like length; one pivot for all lists they share
+                    to = s + int(np.searchsorted(n[s : s + z], den * n[first] // num, "right"))
+                    pivot = first + int(np.argmin(rank[first:to]))
+                    yield from emit(rep, n, p, np.full(to - first, pivot), np.arange(first, to))
+                    first = to
+
+    ordered = postings.select("shingle", "slot", "n", "rep", F.col("position").cast("long").alias("position")).repartition("shingle", "slot").sortWithinPartitions("shingle", "slot", "n", "rep")
+    return ordered.mapInArrow(run, "a long, b long, shingle long, n long, position long")
+
+
+def _set_members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(doc_id, members) of the rows whose doc_id is wanted, and of few others.
 
-    pairs = pairs.join(ranges.select(F.col("rep").alias("a"), F.col("ranges").alias("ra")), "a").join(ranges.select(F.col("rep").alias("b"), F.col("ranges").alias("rb")), "b")
-    pairs = stored(pairs.select("a", "b", "ra", "rb").mapInArrow(overlap_fits, "a long, b long"))
-    # a bitmap of fixed size tells most texts that are in no pair; the joins below are exact
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    A bitmap of fixed size tells most texts that aren't wanted; joins with what this gives are exact.
+    """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ends.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32768).alias("bucket"), (F.col("bit") % 32768).alias("at"))
+    bits = wanted.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32768).alias("bucket"), (F.col("bit") % 32768).alias("at"))
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)").alias("bits")).collect():
         bitmap[r.bucket * 4096 : r.bucket * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
@@ -216,14 +250,28 @@ def _verify(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, k: int, num: i
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((sent.value[bit >> 3] >> (bit & 7)) & 1 == 1))
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK):
                 value, size = shingle_sets(block, k)
-                at = np.concatenate(([0], np.cumsum(size)))
-                data = value.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array([data[8 * x : 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), _binary(value, np.concatenate(([0], np.cumsum(size))))], ["doc_id", "members"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(sets, "doc_id long, members binary")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, members, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of different texts whose sets have den * overlap >= num * union; each is looked at once.
+
+    members gives the sets, once it is told the ids of texts that are in a pair.
+    """
+
+    def suffix(batches):
+        for batch in batches:
+            n = batch.column(4).to_numpy(zero_copy_only=False) + batch.column(5).to_numpy(zero_copy_only=False)
+            ok = _near(_read_sketches(batch.column(2)), _read_sketches(batch.column(3)), n, 0, num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(sets, "doc_id long, members binary")
+    pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n1")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n2")), "b")
+    pairs = stored(pairs.select("a", "b", "x", "y", "n1", "n2").mapInArrow(suffix, "a long, b long"))
+    sets = members(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def linked(batches):
         for batch in batches:
@@ -236,31 +284,75 @@ def _verify(pairs: DataFrame, docs: DataFrame, ranges: DataFrame, k: int, num: i
                 ok.append(den * common >= num * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = pairs.join(members.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
-    both = one.join(members.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
+    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
+    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
     return both.select("a", "b", "ma", "mb").mapInArrow(linked, "a long, b long")
 
 
-def _block_pairs(postings: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """All pairs of members of different components within long lists, a block of members against another at a time."""
-    sized = postings.withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    twice = sized.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("shingle", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rep", "n", "position", "component").distinct()
+class _Forest:
+    """Union-find over the components that meet in one block."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
+def _block_pairs(lists: DataFrame, num: int, den: int, forest: int) -> DataFrame:
+    """(a, b) of lists (shingle, blocks, rep, n, position, component, sketch): members of different components near by sketch.
 
-    def run(part: pa.Table) -> pa.Table:
-        rep, n, p, c, slot = (part[x].to_numpy() for x in ("rep", "n", "position", "component", "slot"))
-        i, j = np.flatnonzero(slot == part["i"][0].as_py()), np.flatnonzero(slot == part["j"][0].as_py())
-        found = []
-        for x in i:
-            y = j[c[j] != c[x]]
-            y = y[_passes(n[x], p[x], n[y], p[y], num, den)]
-            found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])]))
-        found = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+    Lists are cut into blocks, and every block meets every other.  With forest 1 a meeting gives at most one pair less than
+    it has components, the nearest first; with 2 such pairs in another order; with 0 all of them.
+    """
+    slot = lists.withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    ordered = slot.select("shingle", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rep", "n", "position", "component", "sketch").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "rep")
+
+    def read(batch):
+        return [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]), _read_sketches(batch.column(8))]
+
+    def meet(i, j, slot, rep, n, p, c, sketch):
+        left, right = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+        joined, c = _Forest(), c.copy()
+        step = max(1, (1 << 16) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            x = left[at : at + step]
+            ok = (c[x][:, None] != c[right]) & _passes(n[x][:, None], p[x][:, None], n[right], p[right], num, den)
+            if i == j:
+                ok &= x[:, None] < right
+            a, b = np.nonzero(ok)
+            a, b = x[a], right[b]
+            near = _near(sketch[a], sketch[b], n[a], n[b], num, den)
+            a, b = a[near], b[near]
+            if forest and len(a):
+                by = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) if forest == 1 else mix(rep[a].view(np.uint64), 43) ^ mix(rep[b].view(np.uint64), 44)
+                order = np.argsort(by, kind="stable")
+                keep = [k for k, x1, x2 in zip(order.tolist(), c[a[order]].tolist(), c[b[order]].tolist()) if joined.join(x1, x2)]
+                a, b = a[keep], b[keep]
+                known, inverse = np.unique(c, return_inverse=True)
+                c = np.asarray([joined.root(v) for v in known.tolist()], np.int64)[inverse]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+
+    def run(batches):
+        for cols, start in _groups(batches, read, 3):
+            for s, e in zip(start, np.append(start[1:], len(cols[0]))):
+                yield from meet(cols[1][s], cols[2][s], *(c[s:e] for c in cols[3:]))
 
-    return twice.groupBy("shingle", "i", "j").applyInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), short: int = 16, rounds: int = 4, pivots: int = 16, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), short: int = 16, split: int = 1 << 16, block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: linked texts have Jaccard similarity of at least threshold.
 
     Texts with fewer than k words are one shingle; texts without words have n_shingles 0 and are components of their own.
@@ -269,36 +361,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     """
     num, den = threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(prefixes(docs, bucket_counts(docs, k), k, num, den))
-    classes = stored(sets.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")))
-    postings = classes.select("rep", "n", F.posexplode("prefix").alias("position", "shingle"))
-    found = stored(_pairs(postings, num, den, short))
-    links = stored(_verify(found.where("b is not null").select("a", "b").distinct(), docs, classes, k, num, den))
+    sets = stored(prefixes(docs, bucket_counts(docs, k), k, num, den, split))
+    first = [F.first(c).alias(c) for c in ("prefix", "hot", "slots", "sketch")]
+    classes = stored(sets.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), *first))
+    plain = classes.select("rep", "n", F.posexplode("prefix").alias("position", "shingle")).withColumn("slot", F.lit(-1).cast("long"))
+    hot = classes.where("size(hot) > 0").select("rep", "n", "k1", F.size("prefix").alias("before"), F.posexplode(F.arrays_zip("hot", "slots")).alias("i", "x"))
+    hot = hot.select("rep", "n", (F.col("before") + F.col("i")).alias("position"), F.col("x.hot").alias("shingle"), F.pmod("k1", F.col("x.slots")).alias("slot"))
+    found = stored(_pairs(plain.unionByName(hot), num, den, short))
+    links = stored(_verify(found.where("b is not null").select("a", "b").distinct(), classes, lambda ids: _set_members(docs, ids, k), num, den))
     linked = components(links)
-    long_lists = found.where("b is null").select(F.col("a").alias("rep"), "shingle", "n", "position")
-    for round_ in range(1, rounds + 2):
-        if long_lists.isEmpty():
-            break
+    lists, members = found.where("b is null").select(F.col("a").alias("rep"), "shingle", "n", "position"), None
+    for forest in (1, 2, 0):
         # lists whose members are all of one component are settled
-        own = long_lists.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("lo < hi").select("shingle", "blocks")
-        long_lists = stored(own.join(open_, "shingle"))
-        if round_ <= rounds:
-            # every member goes to one of its lists, near copies to the same one, and meets members of `pivots` components
-            one = long_lists.groupBy("rep").agg(F.min_by(F.struct("shingle", "n", "position", "component"), F.xxhash64("shingle", F.lit(round_))).alias("x")).select("rep", "x.*")
-            pivot = one.groupBy("shingle", "component").agg(F.min_by(F.struct("rep", "n", "position"), F.xxhash64("rep", F.lit(round_))).alias("p"))
-            first = Window.partitionBy("shingle").orderBy(F.xxhash64("component", F.lit(round_)), "component")
-            pivot = pivot.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots).select("shingle", "p", F.col("component").alias("c"))
-            pairs = one.join(pivot, "shingle").where(F.col("component") != F.col("c"))
-            fits = (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")) & ((num + den) * F.least(F.col("n") - F.col("position"), F.col("p.n") - F.col("p.position")) >= num * (F.col("n") + F.col("p.n")))
-            pairs = pairs.where(fits).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-        else:
-            pairs = _block_pairs(long_lists, num, den, block)
-        more = stored(_verify(pairs.distinct(), docs, classes, k, num, den))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            linked = components(links)
-        long_lists = long_lists.select("rep", "shingle", "n", "position")
-    out = sets.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
-    out = out.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+        own = lists.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        size = F.greatest(F.lit(block), F.least(F.lit(16 * block), F.floor(F.count("*") / 64)))
+        open_ = own.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / size).cast("long").alias("blocks")).where("lo < hi").select("shingle", "blocks")
+        own = stored(own.join(open_, "shingle"))
+        if own.isEmpty():
+            break
+        lists = own.select("rep", "shingle", "n", "position")
+        if members is None:
+            members = stored(_set_members(docs, lists.select(F.col("rep").alias("doc_id")), k))
+        pairs = stored(_block_pairs(own.join(classes.select("rep", "sketch"), "rep"), num, den, forest).distinct())
+        more = stored(_verify(pairs, classes, lambda ids: members, num, den))
+        n_pairs, n_more = pairs.count(), more.count()
+        if n_more:
+            linked = components(linked.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        if n_more == n_pairs:  # a forest without a false pair has joined all that is to be joined
+            break
+    labels = classes.select("n", "k1", "k2", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("label"))
+    some = sets.where("n > 0").select("doc_id", "n", "k1", "k2").join(labels, ["n", "k1", "k2"], "left")
+    none = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("label"))
+    out = some.select("doc_id", "n", "label").unionByName(none)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))

@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,12 +91,23 @@ def copies(n, seed, words=60, most=6):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"short": 2, "rounds": 0, "block": 8}, {"short": 2, "rounds": 2, "block": 8}])
+@pytest.mark.parametrize("options", [{}, {"short": 2, "block": 8}, {"short": 2, "block": 8, "split": 4}, {"short": 1, "block": 1000, "split": 1}])
 def test_jaccard_components(spark, odd, none, options):
     df = spark.createDataFrame(copies(160, 6), "doc_id long, text string")
     check_components(df, **options)
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 60, 3000):
+        x, y = (np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([y, x[::2]]))
+        a, b = (jaccard_join._sketches(v, np.asarray([len(v)])) for v in (x, y))
+        apart = len(np.setxor1d(x, y))
+        least = int(np.bitwise_count(a ^ b).sum())
+        assert least <= apart and (apart - least) % 2 == 0 and (n != 60 or least > 0.8 * apart)
+
+
 def test_jaccard_documents_and_odd_rows(spark, odd, none, documents):
     check_components(documents)
     check_components(odd)
