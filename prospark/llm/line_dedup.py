@@ -1,14 +1,18 @@
 """Line deduplication over a corpus by a segment-partition edit join, with DataFrame functions only.
 
 A line of at least `min_chars` code points is a duplicate when the same line occurs earlier, or, from `edit_chars` code
-points on, when some line that first occurs earlier is within `edits` edits of it.  Earlier is by (doc_id, line number).
+points on, when some line that first occurs earlier is within `edits` edits of it.  Earlier is by doc_id, then line number;
+rows that share a doc_id but not their text are told apart by hashes.
 
 A line of n code points is split into edits + 1 segments.  Two lines within the threshold share a whole segment of the
 shorter one, so segments index the line and the longer line probes, for each length from n - edits to n, the substrings
-at the places where a shared segment can lie (multi-match-aware selection).  All keys go through one shuffle of hashes;
-texts don't.  Within a key each line first meets only the earliest line, which is linear in the list; lines that this
-doesn't settle are compared with the rest of their lists, character counts first.  Candidates are verified by edit distance with a threshold
-(Spark's banded levenshtein; the bit-parallel form has no DataFrame function, and the band does the same work bound).
+at the places where a shared segment can lie (multi-match-aware selection).  Distinct lines are written once; their keys go
+through one shuffle of hashes, texts don't.  Within a key each line first meets only the earliest line, which is linear in
+the list; lines that this doesn't settle are compared with the rest of their lists, character counts first.  Keys that a
+sample shows in many lines don't meet in one task: their earliest line is a combined minimum, which is broadcast.
+
+Candidates are verified by banded bit-parallel edit distance: for each number of errors, a bit set says which diagonals of
+the band are reached after each code point, all sets being parts of one 64-bit integer that an aggregate carries along.
 """
 
 from __future__ import annotations
@@ -17,14 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import stored
+from .winnowing import _let
 
-_LINES = 1 << 20  # places of lines within a document in the order of lines
 CLASSES = 16
+SAMPLE = 64  # one of so many lines is looked at for hot keys
+HOT_KEYS = 10_000  # a hot key has more than this part of the sampled keys, so there are fewer than so many
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.char_length("line") >= min_chars)
-    return rows.select("doc_id", "pos", "line", F.xxhash64("line").alias("hash"), (F.shiftleft("doc_id", 20) + F.least("pos", F.lit(_LINES - 1))).alias("place"))
+    """(doc_id, digest, pos, line, hash) of every line that counts; digest tells texts of one doc_id apart."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.where(F.char_length("line") >= min_chars).withColumn("hash", F.xxhash64("line"))
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -56,76 +63,136 @@ def _keys(edits: int) -> tuple[Column, int]:
     return F.array(*out), parts
 
 
-def duplicate_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int = 20, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(hash, first, near) of every distinct line: where it occurs first, and whether an earlier line is near it.
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether texts a and b are at most `edits` edits of code points apart; null where either is null.
 
-    occurrences are the lines of docs (hash, place).
+    Bit d + edits of part e of the state: after j code points of b, the first j + d of a are matched with at most e errors.
+    A match stays on its diagonal, so does a substitution with one error more; a further code point of b goes one diagonal
+    down, a left out one of a goes one up.
     """
+    width = 2 * edits + 1
+    if width * (edits + 1) > 63:
+        raise ValueError("the states of so many edits don't fit into 64 bits")
+    band = (1 << width) - 1
+
+    def near(p: Column, t: Column) -> Column:
+        bit = lambda c, j, d: F.when(F.get(p, j + d) == c, F.lit(1 << (d + edits))).otherwise(F.lit(0))
+        masks = F.transform(t, lambda c, j: sum((bit(c, j, d) for d in range(1 - edits, edits + 1)), bit(c, j, -edits)))
+
+        def step(state: Column, mask: Column) -> Column:
+            part = lambda e: F.shiftright(state, width * e).bitwiseAND(F.lit(band))
+            out, below = part(0).bitwiseAND(mask), part(0).bitwiseAND(mask)
+            for e in range(1, edits + 1):
+                before = part(e - 1)
+                here = part(e).bitwiseAND(mask).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(below, 1).bitwiseAND(F.lit(band)))
+                out, below = out.bitwiseOR(F.shiftleft(here, width * e)), here
+            return out
+
+        begin = sum(((((1 << (e + 1)) - 1) << edits) & band) << (width * e) for e in range(edits + 1))
+        place = F.size(p) - F.size(t) + edits
+        end = F.aggregate(masks, F.lit(begin).cast("long"), lambda s, m: step(s, m.cast("long")))
+        return F.when(place.between(0, 2 * edits), _let(end, lambda s: F.getbit(s, F.lit(width * edits) + place) == 1)).otherwise(F.lit(False))
+
+    points = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    return _let(points(a), lambda p: _let(points(b), lambda t: near(p, t)))
+
+
+def _earliest(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows (key, probe, doc_id, pos, hash) with the earliest line they meet, and how many members their list has.
+
+    Segments meet all of their list, probes its segments.
+    """
+    at = F.struct("doc_id", "pos", "hash")
+    parts = [F.min(at).alias("all"), F.min(F.when(~F.col("probe"), at)).alias("segment"), F.count("*").alias("members")]
+    cold = rows
+    if hot is not None:
+        rows = stored(rows)
+        cold = rows.join(F.broadcast(hot), "key", "left_anti")
+    whole = Window.partitionBy("key")
+    lists = cold.select("*", *(p.over(whole).alias(n) for p, n in zip((F.min(at), F.min(F.when(~F.col("probe"), at)), F.count("*")), ("all", "segment", "members"))))
+    if hot is not None:  # fewer than HOT_KEYS keys
+        ends = stored(rows.join(F.broadcast(hot), "key", "left_semi").groupBy("key").agg(*parts))
+        lists = lists.unionByName(rows.join(F.broadcast(ends), "key"))
+    return lists.withColumn("earliest", F.when(F.col("probe"), F.col("segment")).otherwise(F.col("all"))).withColumn("later", F.coalesce(F.col("earliest") < at, F.lit(False)))
+
+
+def near_lines(lines: DataFrame, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 250_000, hot_members: int = 1 << 14) -> DataFrame:
+    """(hash) of the distinct lines (hash, doc_id, pos, line) that are within `edits` edits of an earlier one."""
     if edit_chars < 4 * (edits + 1):
         raise ValueError("edit_chars is too short for so many edits")
-    lines = _lines(docs, min_chars).withColumn("n", F.char_length("line")).where(F.col("n") >= edit_chars)
-    first = stored(occurrences.groupBy("hash").agg(F.min("place").alias("first")))
     keys, segments = _keys(edits)
-    keyed = lines.withColumn("points", F.encode("line", "UTF-32")).select("place", keys.alias("keys")).join(first.select(F.col("first").alias("place")), "place")
-    rows = keyed.select("place", F.posexplode("keys").alias("i", "key")).select("key", "place", (F.col("i") >= segments).alias("probe"))
-    # segments meet all of their list, probes its segments
-    whole = Window.partitionBy("key")
-    lists = rows.select("*", F.min("place").over(whole).alias("all"), F.min(F.when(~F.col("probe"), F.col("place"))).over(whole).alias("segment"), F.count("*").over(whole).alias("members"))
-    lists = lists.withColumn("earliest", F.when(F.col("probe"), F.col("segment")).otherwise(F.col("all")))
-    met = stored(lists.where("earliest < place or (members > 2 and segment is not null)").select("key", "probe", "place", "earliest", "members"))
-    near = stored(_verified(met.where("earliest < place").select("place", "earliest").distinct(), lines, edits, broadcast_rows))
+    long_ = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= edit_chars)
+
+    def keyed(some: DataFrame) -> DataFrame:
+        rows = some.withColumn("points", F.encode("line", "UTF-32")).select("doc_id", "pos", "hash", F.posexplode(keys).alias("i", "key"))
+        return rows.select("key", "doc_id", "pos", "hash", (F.col("i") >= segments).alias("probe"))
+
+    often = keyed(long_.where(F.pmod("hash", F.lit(SAMPLE)) == 0)).groupBy("key").count()
+    hot = stored(often)
+    total = hot.agg(F.sum("count")).first()[0] or 0
+    hot = hot.where(F.col("count") > max(hot_members // SAMPLE, total // HOT_KEYS)).select("key")
+    lists = _earliest(keyed(long_), None if hot.isEmpty() else hot)
+    met = stored(lists.where("later or (members > 2 and segment is not null)").select("key", "probe", "doc_id", "pos", "hash", F.col("earliest.hash").alias("earliest"), "later", "members"))
+    near = stored(_verified(met.where("later").select("hash", "earliest").distinct(), lines, edits, broadcast_rows))
     # lists with more than the earliest: only lines that aren't yet known as duplicates need the others
-    rest = met.where("members > 2 and earliest < place").join(near, "place", "left_anti").select("key", "probe", "place", "earliest")
-    more = _near_in_lists(rest, met, lines, edits)
-    near = near.unionByName(more).distinct().withColumn("near", F.lit(True))
-    return first.join(near.withColumnRenamed("place", "first"), "first", "left").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    rest = met.where("members > 2 and later").join(near, "hash", "left_anti").select("key", "probe", "doc_id", "pos", "hash", "earliest")
+    return near.unionByName(_near_in_lists(rest, met, lines, edits)).distinct()
 
 
 def _near_in_lists(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Places of rest with an earlier line of their lists within the threshold, verified where the lists meet.
+    """Hashes of rest with an earlier line of their lists within the threshold, verified where the lists meet.
 
     An edit changes the counts of characters in CLASSES classes by two in all at most, which is looked at first.  Texts go
-    along with the lists that have such places, so no pairs are written; within a list, all of them are compared.
+    along with the lists that have such lines, so no pairs are written; within a list, all of them are compared.
     """
     rest = stored(rest)
-    lists = met.join(rest.select("key").distinct(), "key", "left_semi").select("key", "probe", "place")
-    members = stored(lists)
+    members = stored(met.join(rest.select("key").distinct(), "key", "left_semi").select("key", "probe", "doc_id", "pos", "hash"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("codes", lambda c: c == k)).alias(f"c{k}")
+
     codes = F.transform(F.split("line", ""), lambda c: F.ascii(c) % CLASSES)
-    counted = lines.join(members.select("place").distinct(), "place").withColumn("codes", codes)
-    counts = stored(counted.select("place", "line", *(F.size(F.filter("codes", lambda c, k=k: c == k)).alias(f"c{k}") for k in range(CLASSES))))
-    one = rest.join(counts, "place")
-    two = members.join(counts, "place").select("key", F.col("probe").alias("other"), F.col("place").alias("before"), F.col("line").alias("line_before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
+    counted = lines.select("hash", "line").join(members.select("hash").distinct(), "hash").withColumn("codes", codes)
+    counts = stored(counted.select("hash", "line", *(count(k) for k in range(CLASSES))))
+    one = rest.join(counts, "hash").withColumn("place", F.struct("doc_id", "pos", "hash"))
+    two = members.join(counts, "hash").select(F.col("key").alias("list"), F.col("probe").alias("other"), F.struct("doc_id", "pos", "hash").alias("before"), F.col("line").alias("line_before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
     apart = sum((F.abs(F.col(f"c{k}") - F.col(f"d{k}")) for k in range(1, CLASSES)), F.abs(F.col("c0") - F.col("d0")))
-    both = one.join(two, (one["key"] == two["key"]) & (F.col("before") < F.col("place")) & (F.col("before") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits) & (F.levenshtein("line", "line_before", edits) >= 0))
-    return both.select("place").distinct()
+    both = one.join(two, (F.col("key") == F.col("list")) & (F.col("before") < F.col("place")) & (F.col("before.hash") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits) & within(F.col("line"), F.col("line_before"), edits))
+    return both.select("hash").distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
-    """Places of lines with a pair within the threshold.  Few candidates are sent to the lines, many meet them in a shuffle."""
+    """Hashes of lines with a pair within the threshold.  Few candidates are sent to the lines, many meet them in a shuffle."""
     pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("place", "earliest")).alias("place")).distinct()
+    wanted = pairs.select(F.explode(F.array("hash", "earliest")).alias("hash")).distinct()
     if pairs.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
-    texts = stored(lines.select("place", "line").join(wanted, "place"))
-    both = pairs.join(texts, "place").join(texts.select(F.col("place").alias("earliest"), F.col("line").alias("before")), "earliest")
-    return both.where(F.levenshtein("line", "before", edits) >= 0).select("place").distinct()
+    texts = stored(lines.select("hash", "line").join(wanted, "hash"))
+    both = pairs.join(texts, "hash").join(texts.select(F.col("hash").alias("earliest"), F.col("line").alias("before")), "earliest")
+    return both.where(within(F.col("line"), F.col("before"), edits)).select("hash").distinct()
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, **options) -> DataFrame:
     """docs with the duplicate lines cut out of text, and n_lines and dropped (numbers of the cut lines, ascending).
 
-    Rows of equal doc_id count as one document; rows with a null doc_id or null text stay as they are and make no line a
-    duplicate.  Columns of docs named n_lines or dropped are replaced.  Repeated lines within a document go too.
+    Rows of equal doc_id and text count as one document and stay alike; rows of one doc_id with other texts are documents of
+    their own.  Rows with a null doc_id or null text stay as they are and make no line a duplicate.  Columns of docs named
+    n_lines or dropped are replaced.  Repeated lines within a document go too.  An empty table gives no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occurrences = stored(_lines(plain, options.get("min_chars", 20)).select("doc_id", "pos", "hash", "place"))
-    found = duplicate_lines(plain, occurrences, **options)
-    cut = occurrences.join(found, "hash").where("near or place != first").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    found = _lines(plain, min_chars)
+    occurrences = stored(found.select("doc_id", "digest", "pos", "hash"))
+    lines = stored(found.groupBy("hash").agg(F.min(F.struct("doc_id", "pos", "digest", "line")).alias("first")).select("hash", "first.*"))
+    near = near_lines(lines, **options).withColumn("near", F.lit(True))
+    first = lines.select("hash", F.struct("doc_id", "pos", "digest").alias("first")).join(near, "hash", "left")
+    again = F.col("near").isNotNull() | (F.struct("doc_id", "pos", "digest") != F.col("first"))
+    cut = occurrences.join(first, "hash").where(again).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    rows = docs.select(*keep).join(cut.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    return rows.select(*(F.when(F.col("dropped").isNotNull(), left).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    whole = F.col("text").cast("string")
+    rows = docs.select(*keep).join(cut.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(whole) == F.col("_digest")), "left").drop("_id", "_digest")
+    split = F.split(whole, "\n", -1)
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    return rows.select(*(F.when(F.col("dropped").isNotNull(), left).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

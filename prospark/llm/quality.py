@@ -82,20 +82,28 @@ def features(block: Block) -> np.ndarray:
 
 
 def weigh(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """tf-idf, with each kind of terms at a fixed share of the unit length."""
-    x = np.log1p(tf) * idf
-    parts = (x[:, :WORDS], x[:, WORDS : WORDS + SHAPES], tf[:, WORDS + SHAPES :])
-    return np.concatenate([w * _unit(p) for w, p in zip((0.5, 0.7, 0.5), parts)], 1)
+    """tf-idf in the place of tf, with each kind of terms at a fixed share of the unit length."""
+    for at in range(0, len(tf), 256):
+        x = tf[at : at + 256]
+        terms = x[:, : WORDS + SHAPES]
+        np.log1p(terms, out=terms)
+        terms *= idf[: WORDS + SHAPES]
+        for weight, part in ((0.5, x[:, :WORDS]), (0.7, x[:, WORDS : WORDS + SHAPES]), (0.5, x[:, WORDS + SHAPES :])):
+            part *= weight / np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9)
+    return tf
 
 
 class Model:
-    """Labelled latent vectors with classes and weights, and the projection that makes such vectors."""
+    """Labelled latent vectors with classes and weights, and the projection that makes such vectors.
+
+    tf is overwritten: the rows of the sample are the only large table that the driver holds.
+    """
 
     def __init__(self, tf: np.ndarray, label: np.ndarray, true_counts: tuple[int, int], rank: int = 64, neighbours: int = 15, power: int = 8):
         self.neighbours, self.power, self.label = neighbours, power, label.astype(np.float32)
         n = len(tf)
         self.prior = true_counts[1] / max(1, sum(true_counts))
-        self.idf = np.log((1 + n) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(tf, axis=0))).astype(np.float32) + 1
         x = weigh(tf, self.idf)
         rank = min(rank, *x.shape)
         q = np.linalg.qr(x.T @ (x @ np.random.default_rng(7).standard_normal((SIZE, rank + 16)).astype(np.float32)))[0]
@@ -138,21 +146,30 @@ def fit(docs: DataFrame, labels: DataFrame, train, column: str = "quality", per_
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(1)):
-                tf = features(block).astype(np.float16)
-                part = batch.slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in tf], pa.binary())], ["doc_id", "label", "tf"])
-
-    rows = sorted(sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, tf binary").collect(), key=lambda r: (r.doc_id, r.tf))
-    if not rows:
+                tf = features(block)
+                part, term, value = batch.slice(block.first, block.n), [], []
+                for row in tf:
+                    some = np.flatnonzero(row)
+                    term.append(some.astype("<u2").tobytes()), value.append(row[some].astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(term, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "label", "term", "value"])
+
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, term binary, value binary").toArrow().combine_chunks()
+    if not rows.num_rows:
         return None
-    tf = np.stack([np.frombuffer(r.tf, np.float16) for r in rows]).astype(np.float32)
-    return Model(np.minimum(tf, 6e4), np.asarray([r.label for r in rows]), counts, **options)
+    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["term"][i].as_py(), rows["value"][i].as_py()))
+    tf = np.zeros((len(order), SIZE), np.float32)
+    for at, i in enumerate(order):
+        tf[at, np.frombuffer(rows["term"][i].as_buffer(), "<u2")] = np.frombuffer(rows["value"][i].as_buffer(), "<f4")
+    label = rows["label"].to_numpy()[order]
+    del rows
+    return Model(tf, label, counts, **options)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
     """docs' rows as they are, with score and predicted; every text is scored whole, null and empty ones by the prior.
 
-    Columns of docs named score or predicted are replaced.  Without a model (no labels) every score is 0.5.
+    Columns of docs named score or predicted are replaced; repeated rows are scored each, an empty table gives no rows.
+    Without a model (no labels) every score is 0.5.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double", "predicted int"])

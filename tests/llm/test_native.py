@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from prospark.llm import line_dedup, pii
 
 
@@ -25,11 +28,19 @@ def test_line_dedup(spark):
     assert got[2].text == "first" and got[3].text == "short" and got[None].text == line
 
 
-def test_line_dedup_against_brute_force(spark):
-    """Lines of many lengths with up to three edits at any place, short alphabets so that segments recur, and repeated rows."""
-    rng = random.Random(8)
+def distance(x: str, y: str) -> int:
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row = row, [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+    return row[-1]
+
+
+def edited_lines(rng, bases: int) -> list[str]:
+    """Lines of many lengths with up to three edits at any place, and short alphabets so that segments recur."""
     lines = []
-    for _ in range(60):
+    for _ in range(bases):
         base = "".join(rng.choice(rng.choice(["ab", "abcdefgh é日"])) for _ in range(rng.randint(38, 60)))
         for _ in range(rng.randint(1, 7)):
             line = list(base)
@@ -38,23 +49,53 @@ def test_line_dedup_against_brute_force(spark):
                 line[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", "日"])
             lines.append("".join(line))
     rng.shuffle(lines)
-    docs = [(d, "\n".join(lines[d * 9 : d * 9 + 9])) for d in range(-(-len(lines) // 9))]
-    got = {r.doc_id: r.dropped for r in line_dedup.dedup_lines(spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").repartition(3)).collect()}
-
-    def distance(x: str, y: str) -> int:
-        row = list(range(len(y) + 1))
-        for i, a in enumerate(x, 1):
-            last, row = row, [i]
-            for j, b in enumerate(y, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
-        return row[-1]
-
-    seen: list[str] = []
-    for doc_id, text in docs:
-        want = []
-        for pos, line in enumerate(text.split("\n")):
-            if line in seen or len(line) >= 40 and any(len(x) >= 40 and abs(len(x) - len(line)) <= 2 and distance(x, line) <= 2 for x in seen):
-                want.append(pos)
-            if len(line) >= 20 and line not in seen:
-                seen.append(line)
-        assert got[doc_id] == want
+    return lines
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_bit_parallel_distance(spark, edits):
+    rng = random.Random(5)
+    words = ["", "a", "ab", "ba", "日本", *("".join(rng.choice("ab日") for _ in range(rng.randint(0, 9))) for _ in range(60))]
+    pairs = [(x, y) for x in words for y in words]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    for r in df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("near")).collect():
+        assert r.near == (distance(r.a, r.b) <= edits), r
+
+
+IDS = [list(range(60)), [5, 5 + 2**44, 2**62, -1, 8, 8, 8, -(2**63), 2**63 - 1, 5 + 2**20, *range(100, 150)]]
+
+
+@pytest.mark.parametrize("ids", IDS)
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup_against_brute_force(spark, monkeypatch, ids, hot):
+    """Small, huge, negative and repeated ids; keys met in one place, or as hot ones."""
+    if hot:
+        monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    lines = edited_lines(random.Random(8), 60)
+    docs = [(ids[d], "\n".join(lines[d * 9 : d * 9 + 9])) for d in range(-(-len(lines) // 9))]
+    df = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").repartition(3)
+    df = df.withColumn("digest", F.xxhash64("text"))
+    got = {(r.doc_id, r.text0): r for r in line_dedup.dedup_lines(df.withColumn("text0", F.col("text")), hot_members=1 if hot else 1 << 14).collect()}
+    digest = {(r.doc_id, r.text): r.digest for r in df.collect()}
+    code = {r.line: r.h for r in spark.createDataFrame([(x,) for x in set(lines)], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
+    occurrences = [(d, pos, t, line) for d, t in docs for pos, line in enumerate(t.split("\n")) if len(line) >= 20]
+    first: dict = {}
+    for d, pos, t, line in sorted(occurrences, key=lambda o: (o[0], o[1], digest[o[0], o[2]])):
+        first.setdefault(line, (d, pos, t))
+    order = {line: (at[0], at[1], code[line]) for line, at in first.items()}
+    near = {x for x in first if len(x) >= 40 and any(order[y] < order[x] and len(y) >= 40 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in first)}
+    assert near
+    for d, t in docs:
+        want = [pos for pos, line in enumerate(t.split("\n")) if line in near or line in first and first[line] != (d, pos, t)]
+        assert got[d, t].dropped == want, (d, got[d, t])
+        assert got[d, t].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want)
+
+
+def test_line_dedup_odd_rows(spark, odd, none):
+    out = line_dedup.dedup_lines(odd)
+    assert out.columns == [*odd.columns, "n_lines", "dropped"] and out.count() == odd.count()
+    got = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(odd.select("doc_id", F.col("text"), F.col("text").alias("before"))).collect()}
+    rows = {r.doc_id: r for r in got.values()}
+    assert rows[1].dropped == [1] and rows[7].dropped == [0, 1] and rows[7].text == "" and rows[2].text is None and rows[8].dropped == []
+    assert rows[None].text == "the cat sat on the mat and looked at the dog"
+    assert line_dedup.dedup_lines(none).count() == 0

@@ -100,7 +100,7 @@ def test_jaccard_components(spark, odd, none, options):
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(3)
     for n in (0, 1, 60, 3000):
-        x, y = (np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        x, y = (np.unique(r.integers(0, 1 << 64, n, np.uint64)) for _ in range(2))
         y = np.unique(np.concatenate([y, x[::2]]))
         a, b = (jaccard_join._sketches(v, np.asarray([len(v)])) for v in (x, y))
         apart = len(np.setxor1d(x, y))
