@@ -2,7 +2,7 @@
 
 A line of at least `min_chars` code points is a duplicate when the same line occurs earlier, or, from `edit_chars` code
 points on, when some line that first occurs earlier is within `edits` edits of it.  Earlier is by doc_id, then line number;
-rows that share a doc_id but not their text are told apart by hashes.
+rows that share a doc_id but not their text go one after the other, by hashes of their texts.
 
 A line of n code points is split into edits + 1 segments.  Two lines within the threshold share a whole segment of the
 shorter one, so segments index the line and the longer line probes, for each length from n - edits to n, the substrings
@@ -28,10 +28,28 @@ SAMPLE = 64  # one of so many lines is looked at for hot keys
 HOT_KEYS = 10_000  # a hot key has more than this part of the sampled keys, so there are fewer than so many
 
 
+PLACE = ("doc_id", "digest", "pos")
+
+
+def _several(docs: DataFrame) -> DataFrame:
+    """doc_ids of rows with different texts."""
+    whole = F.xxhash64(F.col("text").cast("string")).alias("text")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__doc"), whole)
+    return stored(rows.groupBy("__doc").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("__doc"))
+
+
+def _told_apart(docs: DataFrame, several: DataFrame, name: str) -> DataFrame:
+    """docs with a digest: 0, or a hash of the text where rows of one doc_id have different texts."""
+    if several.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    found = docs.join(several, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    return found.withColumn(name, F.when(F.col("__doc").isNotNull(), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))).otherwise(0).cast("long")).drop("__doc")
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, digest, pos, line, hash) of every line that counts; digest tells texts of one doc_id apart."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.char_length("line") >= min_chars).withColumn("hash", F.xxhash64("line"))
+    """(doc_id, digest, pos, line) of every line that counts."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.where(F.char_length("line") >= min_chars)
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -98,11 +116,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def _earliest(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """rows (key, probe, doc_id, pos, hash) with the earliest line they meet, and how many members their list has.
+    """rows (key, probe, place) with the earliest line they meet, and how many members their list has.
 
     Segments meet all of their list, probes its segments.
     """
-    at = F.struct("doc_id", "pos", "hash")
+    at = F.struct(*PLACE)
     parts = [F.min(at).alias("all"), F.min(F.when(~F.col("probe"), at)).alias("segment"), F.count("*").alias("members")]
     cold = rows
     if hot is not None:
@@ -117,59 +135,60 @@ def _earliest(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edit_chars: int = 40, edits: int = 2, broadcast_rows: int = 250_000, hot_members: int = 1 << 14) -> DataFrame:
-    """(hash) of the distinct lines (hash, doc_id, pos, line) that are within `edits` edits of an earlier one."""
+    """Places (doc_id, digest, pos) of the distinct lines, given by place and line, that are within `edits` edits of an earlier one."""
     if edit_chars < 4 * (edits + 1):
         raise ValueError("edit_chars is too short for so many edits")
     keys, segments = _keys(edits)
     long_ = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= edit_chars)
 
     def keyed(some: DataFrame) -> DataFrame:
-        rows = some.withColumn("points", F.encode("line", "UTF-32")).select("doc_id", "pos", "hash", F.posexplode(keys).alias("i", "key"))
-        return rows.select("key", "doc_id", "pos", "hash", (F.col("i") >= segments).alias("probe"))
+        rows = some.withColumn("points", F.encode("line", "UTF-32")).select(*PLACE, F.posexplode(keys).alias("i", "key"))
+        return rows.select("key", *PLACE, (F.col("i") >= segments).alias("probe"))
 
-    often = keyed(long_.where(F.pmod("hash", F.lit(SAMPLE)) == 0)).groupBy("key").count()
+    often = keyed(long_.where(F.pmod(F.xxhash64(*PLACE), F.lit(SAMPLE)) == 0)).groupBy("key").count()
     hot = stored(often)
     total = hot.agg(F.sum("count")).first()[0] or 0
     hot = hot.where(F.col("count") > max(hot_members // SAMPLE, total // HOT_KEYS)).select("key")
     lists = _earliest(keyed(long_), None if hot.isEmpty() else hot)
-    met = stored(lists.where("later or (members > 2 and segment is not null)").select("key", "probe", "doc_id", "pos", "hash", F.col("earliest.hash").alias("earliest"), "later", "members"))
-    near = stored(_verified(met.where("later").select("hash", "earliest").distinct(), lines, edits, broadcast_rows))
+    met = stored(lists.where("later or (members > 2 and segment is not null)").select("key", "probe", *PLACE, "earliest", "later", "members"))
+    near = stored(_verified(met.where("later").select(*PLACE, "earliest").distinct(), lines, edits, broadcast_rows))
     # lists with more than the earliest: only lines that aren't yet known as duplicates need the others
-    rest = met.where("members > 2 and later").join(near, "hash", "left_anti").select("key", "probe", "doc_id", "pos", "hash", "earliest")
+    rest = met.where("members > 2 and later").join(near, list(PLACE), "left_anti").select("key", "probe", *PLACE, "earliest")
     return near.unionByName(_near_in_lists(rest, met, lines, edits)).distinct()
 
 
 def _near_in_lists(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Hashes of rest with an earlier line of their lists within the threshold, verified where the lists meet.
+    """Places of rest with an earlier line of their lists within the threshold, verified where the lists meet.
 
     An edit changes the counts of characters in CLASSES classes by two in all at most, which is looked at first.  Texts go
     along with the lists that have such lines, so no pairs are written; within a list, all of them are compared.
     """
     rest = stored(rest)
-    members = stored(met.join(rest.select("key").distinct(), "key", "left_semi").select("key", "probe", "doc_id", "pos", "hash"))
+    members = stored(met.join(rest.select("key").distinct(), "key", "left_semi").select("key", "probe", *PLACE))
 
     def count(k: int) -> Column:
         return F.size(F.filter("codes", lambda c: c == k)).alias(f"c{k}")
 
     codes = F.transform(F.split("line", ""), lambda c: F.ascii(c) % CLASSES)
-    counted = lines.select("hash", "line").join(members.select("hash").distinct(), "hash").withColumn("codes", codes)
-    counts = stored(counted.select("hash", "line", *(count(k) for k in range(CLASSES))))
-    one = rest.join(counts, "hash").withColumn("place", F.struct("doc_id", "pos", "hash"))
-    two = members.join(counts, "hash").select(F.col("key").alias("list"), F.col("probe").alias("other"), F.struct("doc_id", "pos", "hash").alias("before"), F.col("line").alias("line_before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
+    counted = lines.select(*PLACE, "line").join(members.select(*PLACE).distinct(), list(PLACE)).withColumn("codes", codes)
+    counts = stored(counted.select(*PLACE, "line", *(count(k) for k in range(CLASSES))))
+    one = rest.join(counts, list(PLACE)).withColumn("place", F.struct(*PLACE))
+    two = members.join(counts, list(PLACE)).select(F.col("key").alias("list"), F.col("probe").alias("other"), F.struct(*PLACE).alias("before"), F.col("line").alias("line_before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
     apart = sum((F.abs(F.col(f"c{k}") - F.col(f"d{k}")) for k in range(1, CLASSES)), F.abs(F.col("c0") - F.col("d0")))
-    both = one.join(two, (F.col("key") == F.col("list")) & (F.col("before") < F.col("place")) & (F.col("before.hash") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits) & within(F.col("line"), F.col("line_before"), edits))
-    return both.select("hash").distinct()
+    both = one.join(two, (F.col("key") == F.col("list")) & (F.col("before") < F.col("place")) & (F.col("before") != F.col("earliest")) & ~(F.col("probe") & F.col("other")) & (apart <= 2 * edits) & within(F.col("line"), F.col("line_before"), edits))
+    return both.select("place.*").distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
-    """Hashes of lines with a pair within the threshold.  Few candidates are sent to the lines, many meet them in a shuffle."""
+    """Places of lines with a pair within the threshold.  Few candidates are sent to the lines, many meet them in a shuffle."""
     pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("hash", "earliest")).alias("hash")).distinct()
+    place = F.struct(*PLACE)
+    wanted = pairs.select(F.explode(F.array(place, F.col("earliest"))).alias("p")).select("p.*").distinct()
     if pairs.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
-    texts = stored(lines.select("hash", "line").join(wanted, "hash"))
-    both = pairs.join(texts, "hash").join(texts.select(F.col("hash").alias("earliest"), F.col("line").alias("before")), "earliest")
-    return both.where(within(F.col("line"), F.col("before"), edits)).select("hash").distinct()
+    texts = stored(lines.select(*PLACE, "line").join(wanted, list(PLACE)))
+    both = pairs.join(texts, list(PLACE)).join(texts.select(place.alias("earliest"), F.col("line").alias("before")), "earliest")
+    return both.where(within(F.col("line"), F.col("before"), edits)).select(*PLACE).distinct()
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, **options) -> DataFrame:
@@ -179,17 +198,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, **options) -> DataFrame:
     their own.  Rows with a null doc_id or null text stay as they are and make no line a duplicate.  Columns of docs named
     n_lines or dropped are replaced.  Repeated lines within a document go too.  An empty table gives no rows.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _lines(plain, min_chars)
-    occurrences = stored(found.select("doc_id", "digest", "pos", "hash"))
-    lines = stored(found.groupBy("hash").agg(F.min(F.struct("doc_id", "pos", "digest", "line")).alias("first")).select("hash", "first.*"))
+    keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]
+    several = _several(docs)
+    plain = _told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), several, "digest")
+    found = _lines(plain, min_chars).withColumn("hash", F.xxhash64("line"))
+    occurrences = stored(found.select(*PLACE, "hash"))
+    lines = stored(found.groupBy("hash").agg(F.min(F.struct(*PLACE, "line")).alias("first")).select("hash", "first.*"))
     near = near_lines(lines, **options).withColumn("near", F.lit(True))
-    first = lines.select("hash", F.struct("doc_id", "pos", "digest").alias("first")).join(near, "hash", "left")
-    again = F.col("near").isNotNull() | (F.struct("doc_id", "pos", "digest") != F.col("first"))
+    first = lines.select("hash", *PLACE).join(near, list(PLACE), "left").select("hash", F.struct(*PLACE).alias("first"), "near")
+    again = F.col("near").isNotNull() | (F.struct(*PLACE) != F.col("first"))
     cut = occurrences.join(first, "hash").where(again).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]
+    # what is cut grows with the corpus, so it isn't broadcast
+    cut = cut.select(F.col("doc_id").alias("__cut"), F.col("digest").alias("__cut_digest"), "dropped").hint("merge")
     whole = F.col("text").cast("string")
-    rows = docs.select(*keep).join(cut.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(whole) == F.col("_digest")), "left").drop("_id", "_digest")
+    rows = _told_apart(docs.select(*keep), several, "__digest").join(cut, (F.col("doc_id").cast("long") == F.col("__cut")) & (F.col("__digest") == F.col("__cut_digest")), "left")
     split = F.split(whole, "\n", -1)
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
     return rows.select(*(F.when(F.col("dropped").isNotNull(), left).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

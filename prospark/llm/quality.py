@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ._shared import held_out
 from ._words import Block, blocks, mix
@@ -172,7 +173,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
     Without a model (no labels) every score is 0.5.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double", "predicted int"])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     at = keep.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -75,14 +75,13 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, ids, hot):
     docs = [(ids[d], "\n".join(lines[d * 9 : d * 9 + 9])) for d in range(-(-len(lines) // 9))]
     df = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string").repartition(3)
     df = df.withColumn("digest", F.xxhash64("text"))
-    got = {(r.doc_id, r.text0): r for r in line_dedup.dedup_lines(df.withColumn("text0", F.col("text")), hot_members=1 if hot else 1 << 14).collect()}
+    got = {(r.doc_id, r.text0): r for r in line_dedup.dedup_lines(df.select("doc_id", "text", F.col("text").alias("text0"), F.lit("x").alias("digest")), hot_members=1 if hot else 1 << 14).collect()}
     digest = {(r.doc_id, r.text): r.digest for r in df.collect()}
-    code = {r.line: r.h for r in spark.createDataFrame([(x,) for x in set(lines)], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
     occurrences = [(d, pos, t, line) for d, t in docs for pos, line in enumerate(t.split("\n")) if len(line) >= 20]
     first: dict = {}
-    for d, pos, t, line in sorted(occurrences, key=lambda o: (o[0], o[1], digest[o[0], o[2]])):
+    for d, pos, t, line in sorted(occurrences, key=lambda o: (o[0], digest[o[0], o[2]], o[1])):
         first.setdefault(line, (d, pos, t))
-    order = {line: (at[0], at[1], code[line]) for line, at in first.items()}
+    order = {line: (at[0], digest[at[0], at[2]], at[1]) for line, at in first.items()}
     near = {x for x in first if len(x) >= 40 and any(order[y] < order[x] and len(y) >= 40 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in first)}
     assert near
     for d, t in docs:
