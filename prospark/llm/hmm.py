@@ -231,25 +231,68 @@ def initial(chunks: DataFrame, size: int, states: int, sample: int = 2000) -> Hm
     return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
+def _borders(hmm: Hmm, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, number: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled alpha before each segment of long texts, and beta after it, up to a factor.
+
+    Each segment's product of transition matrices is made side by side with all others'; a walk over the segments of a text
+    then gives what enters it from both sides.  first and pieces: each long text's first segment, and how many it has.
+    """
+    k = len(hmm.start)
+    before, after = np.zeros((len(begin), k)), np.ones((len(begin), k))
+    product = np.broadcast_to(np.eye(k), (len(begin), k, k)).copy()
+    row = number == 0
+    product[row] = 0
+    product[row, 0] = hmm.start  # a text starts with `start` in the place of a move: only row 0 counts
+    order = np.argsort(-size, kind="stable")
+    active = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), "right")
+    for t, n in enumerate(active):
+        own = order[:n]
+        x = product[own]
+        x = np.where(row[own][:, None, None] & (t == 0), x, x @ hmm.move) * hmm.emit[symbols[begin[own] + t]][:, None, :]
+        product[own] = x / x.sum((1, 2), keepdims=True)
+    at = first
+    alpha = product[at, 0] / product[at, 0].sum(1, keepdims=True)
+    for j in range(1, int(pieces.max())):
+        more = pieces > j
+        before[at[more] + j] = alpha[more]
+        alpha[more] = np.einsum("nk,nkl->nl", alpha[more], product[at[more] + j])
+        alpha[more] /= alpha[more].sum(1, keepdims=True)
+    beta = np.ones((len(at), k))
+    for j in range(int(pieces.max()) - 1, 0, -1):
+        more = pieces > j
+        beta[more] = np.einsum("nkl,nl->nk", product[at[more] + j], beta[more])
+        beta[more] /= beta[more].sum(1, keepdims=True)
+        after[at[more] + j - 1] = beta[more]
+    return before, after
+
+
 def expect(hmm: Hmm, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of these texts: scaled forward and backward recursions over segments.
+    """Expected starts, moves and emissions of whole texts: scaled forward and backward recursions.
 
-    Texts longer than SEGMENT are cut; a later segment starts from the stationary distribution of the moves.
+    Texts longer than SEGMENT go in segments, side by side with other texts, each begun with the alpha and the beta that
+    reach it from the rest of its text: so memory is bounded, and the counts are those of the text in one piece.
     """
     k = len(hmm.start)
-    still = np.linalg.matrix_power(hmm.move, 256)[0]
     ends = np.cumsum(lengths)
     pieces = -(-lengths // SEGMENT)
     text = np.repeat(np.arange(len(lengths)), pieces)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    head = np.cumsum(pieces) - pieces
+    number = np.arange(len(text)) - np.repeat(head, pieces)
     begin = (ends - lengths)[text] + number * SEGMENT
     size = np.minimum(SEGMENT, ends[text] - begin)
+    before, after = np.zeros((len(text), k)), np.ones((len(text), k))
+    split = np.flatnonzero(pieces > 1)
+    for at in range(0, len(split), 256):
+        some = split[at : at + 256]
+        own = np.concatenate([np.arange(head[d], head[d] + pieces[d]) for d in some])
+        before[own], after[own] = _borders(hmm, symbols, begin[own], size[own], np.cumsum(pieces[some]) - pieces[some], number[own], pieces[some])
     order = np.argsort(-size, kind="stable")
-    begin, size, number = begin[order], size[order], number[order]
+    begin, size, number, before, after = begin[order], size[order], number[order], before[order].astype(np.float32), after[order].astype(np.float32)
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros_like(hmm.emit)
     move, emit = hmm.move.astype(np.float32), hmm.emit.astype(np.float32)
     for at in range(0, len(begin), 1024):
         b, s, first = begin[at : at + 1024], size[at : at + 1024], number[at : at + 1024] == 0
+        enters, beta = before[at : at + 1024], after[at : at + 1024].copy()
         longest = int(s[0])
         active = np.searchsorted(-s, -np.arange(1, longest + 1), "right")  # segments that have a token t
         alpha = np.zeros((longest, len(b), k), np.float32)
@@ -258,18 +301,20 @@ def expect(hmm: Hmm, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarr
         for t in range(longest):
             n = active[t]
             seen[t, :n] = emit[symbols[b[:n] + t]]
-            a = (np.where(first[:n, None], hmm.start, still).astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move) * seen[t, :n]
+            a = (np.where(first[:n, None], hmm.start.astype(np.float32), enters[:n] @ move) if t == 0 else alpha[t - 1, :n] @ move) * seen[t, :n]
             scale[t, :n] = a.sum(1)
             alpha[t, :n] = a / scale[t, :n, None]
-        beta = np.ones((len(b), k), np.float32)
+        beta /= (alpha[s - 1, np.arange(len(b))] * beta).sum(1, keepdims=True)
         gamma = np.zeros_like(alpha)
         for t in range(longest - 1, -1, -1):
             n = active[t]
             gamma[t, :n] = alpha[t, :n] * beta[:n]
+            ahead = seen[t, :n] * beta[:n] / scale[t, :n, None]
             if t:
-                ahead = seen[t, :n] * beta[:n] / scale[t, :n, None]
                 moves += move * (alpha[t - 1, :n].T @ ahead)
                 beta[:n] = ahead @ move.T
+            else:  # the move into a later segment
+                moves += move * (enters[:n][~first[:n]].T @ ahead[~first[:n]])
         starts += gamma[0, first].sum(0)
         where = np.concatenate([b[: active[t]] + t for t in range(longest)])
         g = np.concatenate([gamma[t, : active[t]] for t in range(longest)])

@@ -1,12 +1,14 @@
-"""Personal data in whole texts by candidate gradient boosting, with DataFrame functions only.
+"""Personal data and secrets in whole texts by candidate gradient boosting, with DataFrame functions only.
 
 Base patterns with their checks give spans that always count.  High-recall generators propose further, overlapping spans
-(mail-like, masked mail, numbers, dotted quads, bank accounts).  Each candidate has a bit mask of format and context
-predicates.  Boosted trees learn from all candidates, weakly labelled by strict validators (grammar, check digits, part
-limits) that are not among the predicates, so a candidate is judged by how often its form and surroundings are valid.
-Masks are bounded (2^len(PREDICATES)), so what the trees are fitted on is one small table of counts per mask, taken over
-the whole corpus by Spark; the fitted trees go back into the plan as an SQL expression.  Thresholds are set per kind on
-the half of the documents that the trees are not fitted on.  Overlaps go to the likelier candidate; base spans win.
+(mail-like, masked mail, numbers, dotted quads, bank accounts, long tokens).  Each candidate has a bit mask of format and
+context predicates.  Boosted trees learn from all candidates, labelled by evidence that the format predicates don't hold: a
+country code or a word for telephones before a number (the number is judged without its code), check digits, part limits
+and grammar, an assignment to a name like key or token.  So a candidate without such evidence is judged by how often its
+form and surroundings have it.  Masks are bounded (2^len(PREDICATES)), so what the trees are fitted on is one small table of
+counts per mask, taken over the whole corpus by Spark; the fitted trees go back into the plan as an SQL expression.
+Thresholds are calibrated per kind on the half of the documents that the trees are not fitted on.  Overlaps go to the
+likelier candidate; base spans win.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from ._shared import stored
 from .winnowing import _let
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 
 # A match can only begin where a run begins, or right where the match before ended: (\G|no such byte before) finds the
 # same leftmost matches as the plain pattern, without trying every place of a long run.  Possessive loops neither go back
@@ -35,12 +37,15 @@ GENERATORS = {
     "number": (r"(?:\G|(?<![0-9]))\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+", "number"),
     "quad": (r"(?:\G|(?<![0-9.]))[0-9]++(?:\.[0-9]++){3}+", "ip"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", "iban"),
+    "token": (r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+", "secret"),
 }
 PREDICATES = (
-    "mail", "masked", "number", "quad", "iban", "plus", "separators", "digits<10", "digits<13", "digits=16", "digits>19",
-    "after a word", "before a word", "cue before", "long", "dotted",
+    *GENERATORS, "separators", "bracket", "groups of four", "digits<8", "digits<10", "digits<13", "digits=16", "digits>19",
+    "after a word", "before a word", "cue before", "long", "hexadecimal", "both cases",
 )
 CUES = r"(?i)(mail|tel|phone|call|mobile|fax|card|visa|pay|account|iban|ip|host|server|contact)[^\n]{0,20}$"
+PHONES = r"(?i)\b(tel|t\u00e9l|phone|telefon|call|mobile|fax)[^\n0-9]{0,12}$"
+NAMES = r"(?i)(token|key|secret|passw(or)?d|pwd|auth|credentials?)[\"']?\s*(:|=|=>|is)\s*[\"']?$"
 
 
 def _digits(x: Column) -> Column:
@@ -91,10 +96,11 @@ def _matches(text: Column, pattern: str) -> Column:
 
 
 def _mask(name: str, c: Column) -> Column:
-    digits = F.length(_digits(c.match))
+    form = F.regexp_replace(c.match, r"^\+[0-9]{1,3}(?![0-9])[\x20.-]?", "")  # without a country code, which is what tells
+    digits = F.length(_digits(form))
     bits = [F.lit(name == g) for g in GENERATORS] + [
-        c.match.startswith("+"), c.match.rlike(r"[0-9][\x20().-]+[0-9]"), digits < 10, digits < 13, digits == 16, digits > 19,
-        c.left.rlike(r"\w$"), c.right.rlike(r"^\w"), c.left.rlike(CUES), F.char_length(c.match) > 24, c.match.rlike(r"\.[A-Za-z]{2,}$"),
+        form.rlike(r"[0-9][\x20().-]+[0-9]"), form.rlike(r"\([0-9]"), form.rlike(r"^[0-9]{4}[\x20-][0-9]{4}"), digits < 8, digits < 10, digits < 13, digits == 16, digits > 19,
+        c.left.rlike(r"\w$"), c.right.rlike(r"^\w"), c.left.rlike(CUES), F.char_length(c.match) > 24, c.match.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), c.match.rlike("[a-z]") & c.match.rlike("[A-Z]"),
     ]
     total = F.lit(0)
     for i, b in enumerate(bits):
@@ -118,14 +124,17 @@ def _valid(name: str, c: Column) -> Column:
             return _octets(c.match)
         case "iban":
             return _iban(c.match)
+        case "token":
+            return c.left.rlike(NAMES)
     digits = _digits(c.match)
-    return F.when(F.length(digits) >= 14, F.length(digits).between(14, 19) & _luhn(digits)).otherwise(c.match.startswith("+") & F.length(digits).between(10, 15))
+    told = (c.match.startswith("+") & (F.length(digits) >= 10)) | (c.left.rlike(PHONES) & (F.length(digits) >= 8))
+    return F.when(F.length(digits) >= 14, F.length(digits).between(14, 19) & _luhn(digits)).otherwise(told)
 
 
-def spans_and_candidates(docs: DataFrame) -> DataFrame:
+def spans_and_candidates(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, base and candidates of every row.  Texts without a digit, an @ or an (at) are passed over at once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(r"[0-9@]|[\(\[]at[\)\]]|\sat\s\S+\sdot\s"), text).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(r"[0-9@]|[\(\[]at[\)\]]|\sat\s\S+\sdot\s"), text).alias("text"), *keep)
 
     def base(kind: str, order: int) -> Column:
         found = F.filter(_matches(F.col("text"), BASE[kind]), lambda c: CHECKS[kind](c.match))
@@ -144,6 +153,7 @@ def spans_and_candidates(docs: DataFrame) -> DataFrame:
     candidates = F.concat(*(proposed(g) for g in GENERATORS))
     return docs.select(
         "doc_id",
+        *keep,
         some(F.array_sort(spans), "array<struct<start:int,order:int,end:int>>").alias("base"),
         some(candidates, "array<struct<start:int,order:int,end:int,mask:int,valid:boolean>>").alias("candidates"),
     )
@@ -219,12 +229,8 @@ def fit(rows: DataFrame, precision: float = 0.8) -> tuple[Trees, list[float]]:
     return trees, thresholds
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Per row: counts of base spans by kind, the digest of the base spans, and all spans as kind:start:end text.
-
-    Null and empty texts have no spans; null doc_ids and repeated rows are kept; other columns are ignored.
-    """
-    rows = stored(spans_and_candidates(docs))
+def _judged(rows: DataFrame) -> Column:
+    """All spans of a row: the base ones, and candidates that are likely enough and meet no likelier one."""
     trees, thresholds = fit(rows)
     enough = lambda c: F.element_at(F.lit(thresholds), c.order + 1)
     scored = F.transform("candidates", lambda c: F.struct((-trees.column(c.mask)).alias("p"), c.start.alias("start"), c.order.alias("order"), c.end.alias("end")))
@@ -232,20 +238,38 @@ def find(docs: DataFrame) -> DataFrame:
     kind = "array<struct<start:int,order:int,end:int>>"
     clear = lambda spans, c: ~F.exists(spans, lambda s: (s.start < c.end) & (c.start < s.end))
     plain = lambda c: F.struct(c.start.alias("start"), c.order.alias("order"), c.end.alias("end"))
-    all_ = F.aggregate(likely, F.col("base").cast(kind), lambda spans, c: F.when(clear(spans, c), F.concat(spans, F.array(plain(c)))).otherwise(spans))
+    return F.aggregate(likely, F.col("base").cast(kind), lambda spans, c: F.when(clear(spans, c), F.concat(spans, F.array(plain(c)))).otherwise(spans))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """Per row: counts of base spans by kind, the digest of the base spans, how many spans in all, and all as kind:start:end.
+
+    Null and empty texts have no spans; null doc_ids and repeated rows are kept; other columns are ignored; an empty table
+    gives no rows.
+    """
+    rows = stored(spans_and_candidates(docs))
     text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), s.order + 1), s.start.cast("string"), s.end.cast("string"))), ",")
     count = lambda i: F.size(F.filter("base", lambda s: s.order == i)).cast("long").alias(f"n_{KINDS[i]}")
-    out = rows.select("doc_id", *(count(i) for i in range(4)), "base", all_.alias("all"))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("all")).alias("spans"))
-
-
-def redact(docs: DataFrame, found: DataFrame, mask: str = "<PII>") -> DataFrame:
-    """docs with every span of `found` (as given by find, one row per doc_id) replaced by a mask naming its kind."""
-    spans = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.struct(s[2].cast("int").alias("at"), F.concat(a.text, F.substring(F.col("text"), a.at + 1, F.greatest(s[1].cast("int") - a.at, F.lit(0))), F.when(s[1].cast("int") >= a.at, F.lit(mask)).otherwise(F.lit(""))).alias("text")),
-        lambda a: F.concat(a.text, F.substring(F.col("text"), a.at + 1, F.char_length("text"))),
-    )
-    return docs.join(found.select("doc_id", "spans"), "doc_id", "left").withColumn("text", F.when(F.coalesce("spans", F.lit("")) != "", cut).otherwise(F.col("text"))).drop("spans")
+    out = rows.select("doc_id", *(count(i) for i in range(4)), "base", _judged(rows).alias("all"))
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(text(F.col("base")), 256).alias("base_sha256"), F.size("all").cast("long").alias("n_spans"), text(F.col("all")).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of text replaced by <kind>.  Of spans that overlap, the rest of the later ones goes, too.
+
+    Every row is searched and cut by itself, so repeated rows and null doc_ids are treated like others; null texts stay
+    null, an empty table gives no rows, and all other columns stay as they are.
+    """
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = stored(spans_and_candidates(docs.select("doc_id", "text", rest), "row"))
+    text = F.col("row.text").cast("string")
+
+    def cut(a: Column, s: Column) -> Column:
+        between = F.substring(text, a.at + 1, F.greatest(s.start - a.at, F.lit(0)))
+        mark = F.when(s.start >= a.at, F.concat(F.lit("<"), F.element_at(F.lit(list(KINDS)), s.order + 1), F.lit(">"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(a.at, s.end).alias("at"), F.concat(a.text, between, mark).alias("text"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    clean = F.aggregate(F.array_sort("all"), begin, cut, lambda a: F.concat(a.text, F.substring(text, a.at + 1, F.char_length(text))))
+    rows = rows.withColumn("all", _judged(rows))
+    return rows.select(*(F.when(F.size("all") > 0, clean).otherwise(text).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,8 +1,8 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around each hit.
 
 The lexicon is learned: words and word stems that are much more frequent in toxic than in clean training texts.  Whole
-words also match misspelled, with one edit from 5 letters and two from 9 (edits of bytes; the first byte only where it is
-replaced by a sign or digit).  The automata of all words are run together as sets of (trie node, edits) pairs; sets met
+words also match misspelled: a sign or digit in the place of a letter costs one, any other edit two, and words of 3 bytes
+may cost one, from 5 two, from 9 four (edits are of bytes; of the first byte only such replacements).  The automata of all words are run together as sets of (trie node, edits) pairs; sets met
 before are states of a table, so all distinct words of a block step through it side by side, a byte at a time.
 A hit is told by its surroundings: inside quotation marks or near a word of saying it is a quotation, near a second person
 it is directed.  A logistic regression on counts, weights and densities of hits by context gives the score.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out
+from ._shared import held_out, stored
 from ._words import Block, blocks, hashes
 from .decontamination import _in, _word_hashes
 from .quality import labelled_sample
@@ -30,19 +30,31 @@ STEMS = (4, 5, 6, 7, 8)
 SAYING = "said says say wrote writes called calls quote quoted quotes reported according claimed dit sagt sagte dijo"
 PERSONS = "you your yours yourself u ur tu toi vous du dich dein ihr usted ustedes vosotros"
 _SAYING, _PERSONS = _word_hashes(SAYING), _word_hashes(PERSONS)
-QUOTES = np.zeros(256, bool)
-QUOTES[[0x22, 0xAB, 0xBB]] = True
+# The double quotation marks, straight, angled, curly and low.
+MARKS = '"«»“”„'
+
+
+def quotation_marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to a quotation mark, and which is a mark's last: whole characters, so no letter is split."""
+    part, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    for mark in MARKS:
+        code = np.frombuffer(mark.encode(), np.uint8)
+        at = np.flatnonzero(np.all([raw[j : len(raw) - len(code) + 1 + j] == b for j, b in enumerate(code)], axis=0)) if len(raw) >= len(code) else np.zeros(0, np.int64)
+        for j in range(len(code)):
+            part[at + j] = True
+        last[at + len(code) - 1] = True
+    return part, last
 
 
 class Automaton:
-    """Least number of edits from a word to a lexicon word, for many words at a time."""
+    """Least cost of edits from a word to a lexicon word, for many words at a time."""
 
     def __init__(self, words: list[str], limit: int = 100_000):
         self.limit = limit
         self.next, self.end, self.most = [{}], [-1], [0]  # trie: children by byte, word, most edits of a word below
         for k, w in enumerate(words):
             data, at = w.encode(), 0
-            edits = 0 if len(data) < 5 else 1 if len(data) < 9 else 2
+            edits = self.allowed(data)
             for b in data:
                 self.most[at] = max(self.most[at], edits)
                 if b not in self.next[at]:
@@ -50,7 +62,7 @@ class Automaton:
                     self.next.append({}), self.end.append(-1), self.most.append(0)
                 at = self.next[at][b]
             self.end[at], self.most[at] = k, max(self.most[at], edits)
-        self.edits = [0 if len(w.encode()) < 5 else 1 if len(w.encode()) < 9 else 2 for w in words]
+        self.edits = [self.allowed(w.encode()) for w in words]
         used = sorted({b for children in self.next for b in children})
         self.kind = np.zeros(256, np.int64)  # 0: no byte of the lexicon, and no letter
         self.kind[0x61:0x7B] = 1  # other letters
@@ -61,6 +73,10 @@ class Automaton:
         self.longest = max((len(w.encode()) for w in words), default=0) + 2
         self._clear()
 
+    @staticmethod
+    def allowed(word: bytes) -> int:
+        return 0 if len(word) < 3 else 1 if len(word) < 5 else 2 if len(word) < 9 else 4
+
     def _clear(self) -> None:
         self.sets, self.number = [frozenset(), frozenset({(0, 0)})], {frozenset(): 0, frozenset({(0, 0)}): 1}
         self.table = np.full((1024, len(self.byte)), -1, np.int32)
@@ -72,7 +88,7 @@ class Automaton:
         todo = list(pairs)
         while todo:
             node = todo.pop()
-            e = pairs[node] + 1
+            e = pairs[node] + 2
             for child in self.next[node].values():
                 if node and e <= self.most[child] and e < pairs.get(child, 9):
                     pairs[child] = e
@@ -91,10 +107,12 @@ class Automaton:
             for b, child in self.next[node].items():
                 if b == byte:
                     put(child, e)
-                elif node or kind == 0:
+                elif kind == 0:
                     put(child, e + 1)
+                elif node:
+                    put(child, e + 2)
             if node:
-                put(node, e + 1)
+                put(node, e + 2)
         reached = self._close(out)
         k = self.number.get(reached)
         if k is None:
@@ -137,7 +155,7 @@ def cores(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     raw, low = block.raw, block.buf.copy()
     at = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
     low[at] += 0x20
-    good = ((low >= 0x61) & (low <= 0x7A)) | ((low >= 0x30) & (low <= 0x39)) | (low >= 0x80)
+    good = (((low >= 0x61) & (low <= 0x7A)) | ((low >= 0x30) & (low <= 0x39)) | (low >= 0x80)) & ~quotation_marks(raw)[0]
     place = np.arange(len(raw))
     none = np.zeros(0, np.int64)
     if not len(block.starts):
@@ -187,7 +205,7 @@ class Model:
         out = np.zeros((n, 14))
         if len(hit):
             raw = block.raw
-            marks = np.concatenate(([0], np.cumsum(QUOTES[raw])))
+            marks = np.concatenate(([0], np.cumsum(quotation_marks(raw)[1])))
             begin, stop = block.offsets[text[hit]], block.offsets[text[hit] + 1]
             before = marks[start[hit]] - marks[np.maximum(start[hit] - 60, begin)]
             after = marks[np.minimum(end[hit] + 60, stop)] - marks[end[hit]]
@@ -266,6 +284,7 @@ def lexicon(sample: DataFrame, words: int = 120, stems: int = 120) -> tuple[dict
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["kind", "term", "clean", "toxic", "texts"])
 
     counts = sample.select("text", "label").mapInArrow(run, "kind long, term string, clean long, toxic long, texts long").groupBy("kind", "term").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "texts")))
+    counts = stored(counts)
     total = counts.where("kind = 2").first()
     if total is None or not total.toxic or not total.clean:
         return {}, {}
@@ -307,7 +326,10 @@ def fit(docs: DataFrame, labels: DataFrame, train, toxic: int = 6000, clean: int
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) of every row; null and empty texts have no hits.  Without a model the score is 0."""
+    """(doc_id, score, predicted) of every row; null and empty texts have no hits.  Without a model the score is 0.
+
+    Repeated rows and null doc_ids are scored like others, other columns are ignored, an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

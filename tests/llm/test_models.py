@@ -42,24 +42,25 @@ def test_odd_rows(spark, odd, none, labels):
 
 
 def edits(a: bytes, b: bytes) -> int:
-    row = list(range(len(b) + 1))
+    """Two for each edit that makes b of a; one where a sign or digit of a stands for a letter."""
+    row = list(range(0, 2 * len(b) + 1, 2))
     for i, x in enumerate(a, 1):
-        row, last = [i], row
+        row, last = [2 * i], row
         for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            row.append(min(last[j] + 2, row[-1] + 2, last[j - 1] + (0 if x == y else 2 if chr(x).isalpha() else 1)))
     return row[-1]
 
 
 def test_automaton():
     words = ["idiot", "worthless", "scum", "pathetic"]
     automaton = toxicity.Automaton(words)
-    tries = ["idiot", "idjot", "idot", "idioot", "1diot", "xdiot", "idjjt", "worthles", "worhtless", "wrthlss", "worxxxess", "scum", "skum", "pathetik", "patetic", "", "other"]
+    tries = ["idiot", "idjot", "idot", "idioot", "1diot", "1d1ot", "1d10t", "xdiot", "idjjt", "worthles", "worhtless", "wrthlss", "worxxxess", "scum", "skum", "sc*m", "5c*m", "$cum", "pathetik", "patetic", "", "other"]
     data = b"".join(t.encode() for t in tries)
     ends = np.cumsum([len(t) for t in tries])
     starts = ends - [len(t) for t in tries]
     word, n = automaton.match(np.frombuffer(data, np.uint8), starts, ends)
     for t, w, e in zip(tries, word, n):
-        allowed = lambda x: 0 if len(x) < 5 else 1 if len(x) < 9 else 2
+        allowed = lambda x: 1 if len(x) < 5 else 2 if len(x) < 9 else 4
         near = [(edits(t.encode(), x.encode()), x) for x in words if t and (t[0] == x[0] or not t[0].isalpha())]
         best = min((p for p in near if p[0] <= allowed(p[1])), default=None)
         assert (w == -1) == (best is None), t
@@ -72,9 +73,12 @@ def test_misspelled_and_quoted():
 
     from prospark.llm._words import blocks
 
-    block = next(blocks(pa.array(["you are an idjot", 'he said "you idiot" then', "fine", ""])))
+    block = next(blocks(pa.array(["you are an idjot", 'he told us "you idiot" then', "fine", "", "sûr idiot goût", "he told us “you idiot” then", "«idiot» he is", "idiot” “idiot"])))
     x = model.features(block)
-    assert x[0, 2] > 0 and x[0, 6] > 0 and x[1, 1] > 0 and x[1, 0] == 0 and not x[2:, :10].any()
+    assert x[0, 2] > 0 and x[0, 6] > 0 and x[1, 1] > 0 and x[1, 0] == 0 and not x[2:4, :10].any()
+    assert x[4, 0] > 0 and x[4, 1] == 0, "letters that share bytes with marks don't quote"
+    assert all(x[i, 1] > 0 and x[i, 0] == 0 and x[i, 2] == 0 for i in (5, 6)), "curly and angled marks quote, and aren't part of the word"
+    assert x[7, 0] > 0
 
 
 def test_base_score_and_counts(spark, odd, none):
@@ -119,11 +123,65 @@ def test_baum_welch_raises_the_likelihood(spark, documents):
         before, model = likelihood, hmm.baum_welch(chunks, model)
 
 
+@pytest.mark.parametrize("segment", [7, 256])
+def test_expected_counts_of_whole_texts(monkeypatch, segment):
+    """Texts of many segments: starts, moves and emissions equal those of a forward-backward recursion over the whole text."""
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    r = np.random.default_rng(5)
+    model = hmm.Hmm(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(5), 3).T)
+    texts = [r.integers(0, 5, n) for n in (1, 6, 7, 8, 14, 15, 700, 3)]
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for t in texts:
+        alpha, scale = np.zeros((len(t), 3)), np.zeros(len(t))
+        for i, o in enumerate(t):
+            a = (alpha[i - 1] @ model.move if i else model.start) * model.emit[o]
+            scale[i] = a.sum()
+            alpha[i] = a / scale[i]
+        beta = np.ones(3)
+        for i in range(len(t) - 1, -1, -1):
+            emits[t[i]] += alpha[i] * beta
+            if i:
+                ahead = model.emit[t[i]] * beta / scale[i]
+                moves += model.move * np.outer(alpha[i - 1], ahead)
+                beta = model.move @ ahead
+        starts += alpha[0] * beta
+    got = hmm.expect(model, np.concatenate(texts).astype("<u4"), np.asarray([len(t) for t in texts]))
+    for g, w in zip(got, (starts, moves, emits)):
+        assert np.allclose(g, w, rtol=1e-4, atol=1e-4)
+    assert abs(got[1].sum() - sum(len(t) - 1 for t in texts)) < 1e-2
+
+
 def test_model_is_a_distribution(spark, documents):
-    """The words of a vocabulary and one unseen word a class, with the end, have probability one in all."""
-    training = ~held_out(7, 2)
-    counts = hmm.word_counts(documents, training, 16)
+    """Sequences of symbols of one length have probability one in all, and so have a class's words with an unseen one."""
+    r = np.random.default_rng(9)
+    model = hmm.Hmm(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(4), 3).T)
+    for n in (1, 2, 4):
+        all_ = np.asarray(list(itertools.product(range(4), repeat=n)), "<u4")
+        assert abs((10.0 ** hmm.forward(model, all_.reshape(-1), np.full(len(all_), n))).sum() - 1) < 1e-9
+    counts = hmm.word_counts(documents, ~held_out(7, 2), 16)
     v = hmm.vocabulary(counts, documents.count(), 64, 16)
-    seen = (v.class_tokens + v.class_words) / (v.class_tokens + v.class_words + 1)
-    unseen = 1 / (v.class_tokens + v.class_words + 1)
-    assert np.allclose(seen + unseen, 1)
+    share = np.zeros(16)
+    for w in counts.collect():
+        if w.n * 64 < v.tokens - v.texts:
+            share[w["class"]] += (w.n + 1) / (v.class_tokens[w["class"]] + v.class_words[w["class"]] + 1)
+    assert np.allclose(share + 1 / (v.class_tokens + v.class_words + 1), 1)
+
+
+def test_votes_against_brute_force(spark, odd, labels):
+    """Every score is the vote of the nearest labelled vectors by exact cosine, one document at a time."""
+    model = quality.fit(odd, labels, ~held_out(5, 0))
+    from prospark.llm._words import blocks
+
+    texts = [r.text or "" for r in odd.collect()]
+    import pyarrow as pa
+
+    tf = np.concatenate([quality.features(b) for b in blocks(pa.array(texts))])
+    latent = quality.weigh(tf.copy(), model.idf) @ model.project
+    want = []
+    for x in latent:
+        cosine = [max(float(x @ v) / max(float(np.linalg.norm(x)), 1e-9), 0.0) for v in model.vectors.T]
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[: model.neighbours]
+        votes = [cosine[i] ** model.power * model.weight[i] for i in near]
+        want.append((sum(w * model.label[i] for w, i in zip(votes, near)) + 1e-4 * model.prior) / (sum(votes) + 1e-4))
+    got = sorted(r.score for r in quality.score(odd, model).collect())
+    assert np.allclose(got, sorted(want), atol=1e-4)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +100,68 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert rows[1].dropped == [1] and rows[7].dropped == [0, 1] and rows[7].text == "" and rows[2].text is None and rows[8].dropped == []
     assert rows[None].text == "the cat sat on the mat and looked at the dog"
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text: str) -> list[tuple[int, int, str]]:
+    """The base patterns by Python's re, with their checks."""
+    out = []
+    for order, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or "") if kind != "email" or "@" in (text or "") else ():
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            good = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 14 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in doubled) % 10 == 0,
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return sorted(out)
+
+
+def test_personal_data_against_brute_force(spark, documents, odd):
+    """Counts, digest and base spans of whole documents; what is added neither moves nor overlaps them."""
+    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    texts = [(r.doc_id, r.text) for r in df.collect()]
+    got = pii.find(df).collect()
+    assert len(got) == len(texts)
+    want = {d: plain_spans(t) for d, t in texts}
+    added = 0
+    for r in got:
+        spans = [s for _, _, s in want[r.doc_id]]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [sum(s.startswith(k) for s in spans) for k in PLAIN] == [r.n_email, r.n_ip, r.n_card, r.n_phone]
+        every = r.spans.split(",") if r.spans else []
+        assert set(spans) <= set(every) and len(every) == r.n_spans
+        added += len(every) - len(spans)
+    assert added
+
+
+def test_trees_add_spans(spark):
+    """A national number after a word for telephones, one of the form of international ones, masked mails and secrets; other numbers not."""
+    rows = [f"Tel: 01 42 68 53 {i:02d} please" for i in range(60)] + [f"order {123456 + i} of 1{i:06d} parts" for i in range(60)]
+    rows += [f"ring +1 (212) 555-01{i:02d} now" for i in range(60)] + [f'token = "{i:02d}bebab91ab85687d33eeaaf9ac699e1188f962" end' for i in range(60)]
+    rows += [f"jo{i}(at)example(dot)org" for i in range(60)]
+    rows += ["ring (212) 555-0199 now", "jo(at)example(dot)org", "see abcdef0123456789abcdef0123456789abcdef01 there"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert all(got[i] == "phone:5:19" for i in range(60)) and not any(got[i] for i in range(60, 120))
+    assert all(got[i].startswith("secret:9:") for i in range(180, 240))
+    assert got[300] == "phone:5:19" and got[301].startswith("email:0:") and got[302] == "secret:4:44"
+
+
+def test_redact(spark, odd):
+    rows = [(1, "mail a@b.com now", "x"), (1, "ip 10.1.2.3 and a@b.org", "y"), (1, "mail a@b.com now", "x"), (None, "+1 (212) 555-0199!", "z"), (2, None, "n")]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, base string")).collect()
+    assert sorted((r.text or "", r.base) for r in got) == sorted([("mail <email> now", "x"), ("ip <ip> and <email>", "y"), ("mail <email> now", "x"), ("<phone>!", "z"), ("", "n")])
+    out = pii.redact(odd)
+    assert out.columns == odd.columns and out.count() == odd.count() and pii.redact(odd.limit(0)).count() == 0
