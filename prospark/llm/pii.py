@@ -28,7 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # a chain of digits is matched from its first one to its last, so chains of other lengths than the check's can be left out
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
@@ -48,6 +49,9 @@ PHONES = r"(?i)\b(tel|t\u00e9l|phone|telefon|call|mobile|fax)[^\n0-9]{0,12}$"
 NAMES = r"(?i)(token|key|secret|passw(or)?d|pwd|auth|credentials?)[\"']?\s*(:|=|=>|is)\s*[\"']?$"
 
 
+_STEP = 256
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -79,18 +83,23 @@ CHECKS = {
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match,left,right>> of the matches of a pattern, in code points; left and right are context."""
-    sizes = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.char_length(x))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
 
     def spans(found: Column) -> Column:
-        def one(between: Column) -> Column:
+        def located(between: Column, sizes: Column, sums: Column) -> Column:
             def span(m: Column, i: Column) -> Column:
-                left, right = F.get(between, i), F.get(between, i + 1)
-                start = sizes(between, i + 1) + sizes(found, i)
+                left, right, whole = F.get(between, i), F.get(between, i + 1), (i / _STEP).cast("int")
+                start = total(F.slice(sums, F.lit(1), whole)) + total(F.slice(sizes, whole * _STEP + 1, i % _STEP)) + F.char_length(left)
                 return _let(start, lambda s: F.struct(s.alias("start"), (s + F.char_length(m)).alias("end"), m.alias("match"), F.substring(left, F.greatest(F.char_length(left) - 29, F.lit(1)), F.lit(30)).alias("left"), F.substring(right, 1, 2).alias("right")))
 
             return F.transform(found, span)
 
-        return _let(F.split(text, pattern, -1), one)
+        def one(between: Column) -> Column:
+            # sizes of matches with what is before them, and their sums by steps, so that many matches cost few additions each
+            sizes = F.transform(found, lambda m, i: F.char_length(m) + F.char_length(F.get(between, i)))
+            return _let(sizes, lambda z: _let(F.transform(F.sequence(F.lit(0), (F.size(z) / _STEP).cast("int")), lambda b: total(F.slice(z, b * _STEP + 1, F.lit(_STEP)))), lambda sums: located(between, z, sums)))
+
+        return F.when(F.size(found) > 0, _let(F.split(text, pattern, -1), one)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string>>"))
 
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
