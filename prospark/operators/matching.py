@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,33 +19,42 @@ def shared_values(df: DataFrame, value: str, owner: str) -> DataFrame:
 def signal_votes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, certain: list[str], weak: list[str], least: int = 2) -> DataFrame:
     """(left_id, right_id, level, n_signals): certain keys decide in order; else `least` weak signals on one candidate.
 
-    The best candidate has the most signals, then the smallest id.  Blank keys join nothing; every join is an equi-join,
-    so a shared key costs its own rows only.
+    The best candidate has the most signals, then the smallest id.  As so many weak signals must agree, rows are joined on
+    so many at a time: a weak signal that many rows share makes no pairs by itself.  Blank keys join nothing.
     """
-
-    def hits(name: str, rank: int) -> DataFrame:
-        a = left.where(~blank(name)).select(F.col(left_id), F.col(name).alias("_k"))
-        b = right.where(~blank(name)).select(F.col(right_id), F.col(name).alias("_k"))
-        return a.join(b, "_k").select(left_id, right_id, F.lit(name).alias("signal"), F.lit(rank).alias("rank"))
-
-    found = reduce(DataFrame.unionByName, [hits(c, i) for i, c in enumerate([*certain, *weak])])
-    sure = F.col("rank") < len(certain)
-    votes = found.groupBy(left_id, right_id).agg(F.min(F.when(sure, F.col("rank"))).alias("sure"), F.count_distinct(F.when(~sure, F.col("signal"))).alias("n_signals"))
-    votes = votes.where(F.col("sure").isNotNull() | (F.col("n_signals") >= least))
+    text = lambda c: F.col(c).cast("string")
+    a = left.select(left_id, *(text(c).alias(f"_l_{c}") for c in [*certain, *weak]))
+    b = right.select(right_id, *(text(c).alias(f"_r_{c}") for c in [*certain, *weak]))
+    agrees = lambda c: ~blank(f"_l_{c}") & (F.col(f"_l_{c}") == F.col(f"_r_{c}"))
+
+    def hits(keys: tuple[str, ...]) -> DataFrame:
+        filled = lambda side: reduce(lambda x, y: x & y, [~blank(f"_{side}_{c}") for c in keys])
+        return a.where(filled("l")).join(b.where(filled("r")), reduce(lambda x, y: x & y, [F.col(f"_l_{c}") == F.col(f"_r_{c}") for c in keys]))
+
+    found = reduce(DataFrame.unionByName, [hits(keys) for keys in [*((c,) for c in certain), *combinations(weak, least)]])
+    sure = F.coalesce(*(F.when(agrees(c), i) for i, c in enumerate(certain))) if certain else F.lit(None).cast("int")
+    n_signals = sum((F.when(agrees(c), 1).otherwise(0) for c in weak), F.lit(0)).cast("bigint")
+    votes = found.select(left_id, right_id, sure.alias("sure"), n_signals.alias("n_signals"))
     best = Window.partitionBy(left_id).orderBy(F.asc_nulls_last("sure"), F.desc("n_signals"), F.asc(right_id))
     return votes.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(left_id, right_id, F.when(F.col("sure").isNotNull(), "certain").otherwise("presumed").alias("level"), "n_signals")
 
 
-def tiered(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, tier: Column, answer: str) -> DataFrame:
-    """Best-tier candidates within a block; ties are kept, and more than one distinct answer means no match.
+def tiered(left: DataFrame, right: DataFrame, tiers: list[tuple[int, list[str]]], left_id: str, right_id: str, answer: str) -> DataFrame:
+    """The answer of the first tier whose keys a row shares with candidates; several distinct answers there mean none.
 
-    left and right columns are seen in `tier` as l.* and r.*; a null tier is no candidate.
+    tiers go from the narrowest keys to the widest.  Candidates are summed up per key before they are joined, so each tier
+    costs a row a key, however many candidates share it.  Blank keys join nothing.
     """
-    pairs = left.where(~blank(block)).alias("l").join(right.where(~blank(block)).alias("r"), F.col(f"l.{block}") == F.col(f"r.{block}"))
-    pairs = pairs.select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), F.col(f"r.{answer}").alias("answer"), tier.alias("tier")).where("tier is not null")
-    top = Window.partitionBy(left_id).orderBy(F.desc("tier"))
-    best = pairs.withColumn("_r", F.rank().over(top)).where("_r = 1")
-    return best.groupBy(left_id).agg(F.first("tier").alias("tier"), F.count_distinct("answer").alias("n_answers"), F.min("answer").alias("answer"), F.min(right_id).alias(right_id)).select(left_id, "tier", "n_answers", F.when(F.col("n_answers") == 1, F.col("answer")).alias("answer"), F.when(F.col("n_answers") == 1, F.col(right_id)).alias(right_id))
+    text = lambda c: F.col(c).cast("string")
+    out = left
+    for level, keys in tiers:
+        filled = reduce(lambda x, y: x & y, [~blank(text(c)) for c in keys])
+        found = F.struct(F.lit(level).alias("tier"), F.count_distinct(answer).alias("n_answers"), F.min(answer).alias("answer"), F.min(right_id).alias("id")).alias(f"_t{level}")
+        sums = right.where(filled).groupBy(*(text(c).alias(f"_k_{c}") for c in keys)).agg(found)
+        out = out.join(sums, reduce(lambda x, y: x & y, [text(c) == F.col(f"_k_{c}") for c in keys]), "left").drop(*(f"_k_{c}" for c in keys))
+    best = out.withColumn("_b", F.coalesce(*(f"_t{level}" for level, _ in tiers))).where("_b is not null")
+    one = F.col("_b.n_answers") == 1
+    return best.select(left_id, "_b.tier", "_b.n_answers", F.when(one, F.col("_b.answer")).alias("answer"), F.when(one, F.col("_b.id")).alias(right_id))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 0.5) -> DataFrame:

@@ -57,9 +57,7 @@ def tiered_match(spark, d):
     c, s = load(spark, d, "customer"), load(spark, d, "supplier")
     left = c.select(F.col("c_custkey").alias("soc"), F.col("c_nationkey").cast("string").alias("cp"), F.concat(F.lit("street "), F.col("c_custkey") % 9).alias("street"), (F.col("c_custkey") % 4).alias("num"))
     right = s.select(F.col("s_suppkey").alias("poi"), F.col("s_nationkey").cast("string").alias("cp"), F.concat(F.lit("street "), F.col("s_suppkey") % 9).alias("street"), (F.col("s_suppkey") % 4).alias("num"), F.concat(F.lit("site"), F.col("s_suppkey") % 6).alias("site"))
-    street = F.col("l.street") == F.col("r.street")
-    tier = F.when(street & (F.col("l.num") == F.col("r.num")), 4).when(street, 2).otherwise(1)
-    return tiered(left, right, "cp", "soc", "poi", tier, "site")
+    return tiered(left, right, [(4, ["cp", "street", "num"]), (2, ["cp", "street"]), (1, ["cp"])], "soc", "poi", "site")
 
 
 @query("""

@@ -194,12 +194,12 @@ def template_render(spark, d):
 
 
 @query("""
-with e as (select 'b' || (event_id % 40) as batch, event_type from events), c as (select c_custkey as campaign, unnest(['b' || (c_custkey % 30), 'b' || (c_custkey % 30 + 5)]) as batch from customer where c_custkey < 25)
+with e as (select 'b' || user_id as batch, event_type from events), c as (select c_custkey as campaign, unnest(['b' || c_custkey, 'b' || (2 * c_custkey + 1)]) as batch from customer)
 select campaign, event_type, count(*) as n from e join c using (batch) group by 1, 2""")
 def campaign_event_attach(spark, d):
     """Delivery events find their campaign by batch id; events of no campaign are dropped."""
-    e = load(spark, d, "events").select(F.concat(F.lit("b"), F.col("event_id") % 40).alias("batch"), "event_type")
-    c = load(spark, d, "customer").where("c_custkey < 25").select(F.col("c_custkey").alias("campaign"), F.explode(F.array(F.concat(F.lit("b"), F.col("c_custkey") % 30), F.concat(F.lit("b"), F.col("c_custkey") % 30 + 5))).alias("batch"))
+    e = load(spark, d, "events").select(F.concat(F.lit("b"), "user_id").alias("batch"), "event_type")
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("campaign"), F.explode(F.array(F.concat(F.lit("b"), "c_custkey"), F.concat(F.lit("b"), 2 * F.col("c_custkey") + 1))).alias("batch"))
     return e.join(c, "batch").groupBy("campaign", "event_type").agg(F.count("*").alias("n"))
 
 

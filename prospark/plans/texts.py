@@ -17,12 +17,11 @@ def host_domain(spark, d):
     return load(spark, d, "pages").select("page_id", domain(F.col("url")).alias("host"))
 
 
-@query("select doc_id, regexp_replace(trim(regexp_replace(strip_accents(lower(replace(replace(w, 'ß', ' '), 'ẞ', ' '))), '[^a-z0-9]+', ' ', 'g')), " + _ENDS + ", '') as key from (select doc_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:4], ' ') || case when doc_id % 3 = 0 then ' SARL' when doc_id % 3 = 1 then ' sas Paris' else '' end as w from documents)")
+@query("select doc_id, regexp_replace(trim(regexp_replace(strip_accents(lower(replace(replace(w, 'ß', ' '), 'ẞ', ' '))), '[^a-z0-9]+', ' ', 'g')), " + _ENDS + ", '') as key from (select doc_id, replace(text, chr(10), ' ') || case when doc_id % 3 = 0 then ' SARL' when doc_id % 3 = 1 then ' sas Paris' else '' end as w from documents)")
 def company_keys(spark, d):
-    """Names made of the first words of documents, with legal forms put behind some of them."""
-    words = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ")
+    """Whole texts as names, with legal forms put behind some of them."""
     k = F.col("doc_id") % 3
-    name = F.concat(words, F.when(k == 0, " SARL").when(k == 1, " sas Paris").otherwise(""))
+    name = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.when(k == 0, " SARL").when(k == 1, " sas Paris").otherwise(""))
     return load(spark, d, "documents").select("doc_id", company_key(name).alias("key"))
 
 
@@ -43,10 +42,10 @@ def dept_from_postcode(spark, d):
     return load(spark, d, "customer").select("c_custkey", department(cp).alias("dept"))
 
 
-@query("""select doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b[0-9]{14}\\b'))), ','), '') as sirets, len(regexp_extract_all(text, '[0-9]{9,}')) as runs from documents""")
+@query("""select doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b[0-9]{3}[\\s.' || chr(160) || ']?[0-9]{3}[\\s.' || chr(160) || ']?[0-9]{3}[\\s.' || chr(160) || ']?[0-9]{5}\\b'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')))), ','), '') as sirets, len(regexp_extract_all(text, '[0-9]{9,}')) as runs from documents""")
 def extract_sirets(spark, d):
     docs = load(spark, d, "documents")
-    return docs.select("doc_id", F.array_join(F.array_sort(F.filter(sirets_in(F.col("text")), lambda s: F.col("text").contains(s))), ",").alias("sirets"), F.size(F.regexp_extract_all("text", F.lit("[0-9]{9,}"), F.lit(0))).cast("bigint").alias("runs"))
+    return docs.select("doc_id", F.array_join(F.array_sort(sirets_in(F.col("text"))), ",").alias("sirets"), F.size(F.regexp_extract_all("text", F.lit("[0-9]{9,}"), F.lit(0))).cast("bigint").alias("runs"))
 
 
 @query()
