@@ -154,10 +154,10 @@ def near_lines(lines: DataFrame, edit_chars: int = 40, edits: int = 2, broadcast
     near = stored(_verified(met.where("later").select(*PLACE, "earliest").distinct(), lines, edits, broadcast_rows))
     # lists with more than the earliest: only lines that aren't yet known as duplicates need the others
     rest = met.where("members > 2 and later").join(near, list(PLACE), "left_anti").select("key", "probe", *PLACE, "earliest")
-    return near.unionByName(_near_in_lists(rest, met, lines, edits)).distinct()
+    return near.unionByName(_near_in_lists(rest, met, lines, edits, broadcast_rows)).distinct()
 
 
-def _near_in_lists(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def _near_in_lists(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int, broadcast_rows: int) -> DataFrame:
     """Places of rest with an earlier line of their lists within the threshold, verified where the lists meet.
 
     An edit changes the counts of characters in CLASSES classes by two in all at most, which is looked at first.  Texts go
@@ -170,7 +170,10 @@ def _near_in_lists(rest: DataFrame, met: DataFrame, lines: DataFrame, edits: int
         return F.size(F.filter("codes", lambda c: c == k)).alias(f"c{k}")
 
     codes = F.transform(F.split("line", ""), lambda c: F.ascii(c) % CLASSES)
-    counted = lines.select(*PLACE, "line").join(members.select(*PLACE).distinct(), list(PLACE)).withColumn("codes", codes)
+    wanted = stored(members.select(*PLACE).distinct())
+    if wanted.count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
+    counted = lines.select(*PLACE, "line").join(wanted, list(PLACE)).withColumn("codes", codes)
     counts = stored(counted.select(*PLACE, "line", *(count(k) for k in range(CLASSES))))
     one = rest.join(counts, list(PLACE)).withColumn("place", F.struct(*PLACE))
     two = members.join(counts, list(PLACE)).select(F.col("key").alias("list"), F.col("probe").alias("other"), F.struct(*PLACE).alias("before"), F.col("line").alias("line_before"), *(F.col(f"c{k}").alias(f"d{k}") for k in range(CLASSES)))
