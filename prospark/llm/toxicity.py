@@ -1,8 +1,8 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around each hit.
 
 The lexicon is learned: words and word stems that are much more frequent in toxic than in clean training texts.  Whole
-words also match misspelled: a sign or digit in the place of a letter costs one, any other edit two, and words of 3 bytes
-may cost one, from 5 two, from 9 four (edits are of bytes; of the first byte only such replacements).  The automata of all words are run together as sets of (trie node, edits) pairs; sets met
+words also match misspelled: a sign or digit in the place of a letter costs one, any other edit and a swap of two neighbours two, and words of 3 bytes
+may cost one, from 5 two, from 9 four (edits are of bytes; of the first byte only such replacements and swaps).  The automata of all words are run together as sets of (trie node, edits) pairs; sets met
 before are states of a table, so all distinct words of a block step through it side by side, a byte at a time.
 A hit is told by its surroundings: inside quotation marks or near a word of saying it is a quotation, near a second person
 it is directed.  A logistic regression on counts, weights and densities of hits by context gives the score.
@@ -52,15 +52,16 @@ class Automaton:
     def __init__(self, words: list[str], limit: int = 100_000):
         self.limit = limit
         self.next, self.end, self.most = [{}], [-1], [0]  # trie: children by byte, word, most edits of a word below
+        self.entry = [-1]  # byte of the edge into a node's parent: the one that comes second where the two are swapped
         for k, w in enumerate(words):
-            data, at = w.encode(), 0
+            data, at, last = w.encode(), 0, -1
             edits = self.allowed(data)
             for b in data:
                 self.most[at] = max(self.most[at], edits)
                 if b not in self.next[at]:
                     self.next[at][b] = len(self.next)
-                    self.next.append({}), self.end.append(-1), self.most.append(0)
-                at = self.next[at][b]
+                    self.next.append({}), self.end.append(-1), self.most.append(0), self.entry.append(last)
+                at, last = self.next[at][b], b
             self.end[at], self.most[at] = k, max(self.most[at], edits)
         self.edits = [self.allowed(w.encode()) for w in words]
         used = sorted({b for children in self.next for b in children})
@@ -89,8 +90,8 @@ class Automaton:
         while todo:
             node = todo.pop()
             e = pairs[node] + 2
-            for child in self.next[node].values():
-                if node and e <= self.most[child] and e < pairs.get(child, 9):
+            for child in self.next[node].values() if node > 0 else ():
+                if e <= self.most[child] and e < pairs.get(child, 9):
                     pairs[child] = e
                     todo.append(child)
         return frozenset(pairs.items())
@@ -99,12 +100,19 @@ class Automaton:
         out: dict[int, int] = {}
 
         def put(node, e):
-            if e <= self.most[node] and e < out.get(node, 9):
+            if e <= self.most[abs(node)] and e < out.get(node, 9):
                 out[node] = e
 
         byte = self.byte[kind]
         for node, e in self.sets[state]:
+            if node < 0:  # the second byte of a swap was read, the first is due
+                if byte == self.entry[-node]:
+                    put(-node, e)
+                continue
             for b, child in self.next[node].items():
+                swapped = self.next[child].get(byte) if b != byte else None
+                if swapped is not None:
+                    put(-swapped, e + 2)
                 if b == byte:
                     put(child, e)
                 elif kind == 0:
@@ -118,7 +126,7 @@ class Automaton:
         if k is None:
             k = self.number[reached] = len(self.sets)
             self.sets.append(reached)
-            best = min(((e, self.end[n]) for n, e in reached if self.end[n] >= 0 and e <= self.edits[self.end[n]]), default=(9, -1))
+            best = min(((e, self.end[n]) for n, e in reached if n > 0 and self.end[n] >= 0 and e <= self.edits[self.end[n]]), default=(9, -1))
             self.result.append((best[1], best[0]))
             if k >= len(self.table):
                 self.table = np.vstack([self.table, np.full_like(self.table, -1)])
@@ -252,8 +260,11 @@ class Model:
         return 1 / (1 + np.exp(-(self.beta[0] + z @ self.beta[1:])))
 
 
-def lexicon(sample: DataFrame, words: int = 120, stems: int = 120) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratios of toxic to clean rates, of the words and stems whose rates differ most surely (likelihood ratio)."""
+def lexicon(sample: DataFrame, words: int | None = None, stems: int | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Log ratios of toxic to clean rates, of the words and stems whose rates differ surely (likelihood ratio).
+
+    All terms that pass the test are taken, unless words or stems say how many; the sample's size bounds them.
+    """
 
     def run(batches):
         seen: dict[tuple, list] = {}
@@ -297,7 +308,7 @@ def lexicon(sample: DataFrame, words: int = 120, stems: int = 120) -> tuple[dict
     out: list[dict[str, float]] = []
     for kind, most in ((0, words), (1, stems)):
         taken: dict[str, float] = {}
-        for r in rows.where(F.col("kind") == kind).orderBy(F.desc("sure"), "term").limit(5 * most).collect():
+        for r in rows.where(F.col("kind") == kind).orderBy(F.desc("sure"), "term").collect():
             if kind == 0 or not any(t.startswith(r.term) or r.term.startswith(t) for t in taken):
                 taken[r.term] = float(r.ratio)
             if len(taken) == most:
