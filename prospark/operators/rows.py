@@ -19,7 +19,8 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> D
 def sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, given: str | None = None, tie: str | None = None) -> DataFrame:
     """Adds session, the number of a row's group within its keys: rows at most gap_seconds apart are one group.
 
-    Rows with a `given` group id are grouped by it, whatever their times; rows without a time are groups of their own.
+    Rows with a `given` group id are grouped by it, whatever their times; rows without a time are groups of their own, told by
+    `tie` if given, else by all their columns (a random number would change when a task runs again).
     """
     seconds = F.col(ts).cast("double")
     order = [F.col(ts), *([F.col(tie)] if tie else [])]
@@ -28,7 +29,7 @@ def sessions(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, given: s
     timed = df.where(free & F.col(ts).isNotNull())
     timed = timed.withColumn("_new", F.when(seconds - F.lag(seconds).over(w) <= gap_seconds, 0).otherwise(1))
     out = timed.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string")).drop("_new")
-    rest = df.where(free & F.col(ts).isNull()).withColumn("session", F.concat(F.lit("untimed-"), F.expr("uuid()")))
+    rest = df.where(free & F.col(ts).isNull()).withColumn("session", F.concat(F.lit("untimed-"), F.col(tie).cast("string") if tie else F.sha2(F.to_json(F.struct(*df.columns)), 256)))
     out = out.unionByName(rest)
     return out if given is None else out.unionByName(df.where(~free).withColumn("session", F.concat(F.lit("given-"), F.col(given))))
 

@@ -9,6 +9,7 @@ from ..functions.names import domain
 from ..operators.matching import shared_values, signal_votes, tiered, verdict
 from ..registry import query
 from ..session import load
+from ..sources.files import robots_table, robots_verdicts
 
 
 @query("""
@@ -87,14 +88,19 @@ def score_catalogue(spark, d):
     return s.withColumn("n", F.row_number().over(top)).where("n <= 12").select("query", "p_partkey", "score")
 
 
+_ROBOTS = {
+    0: "User-agent: *\nDisallow: /\nAllow: /en/ # pages\n",
+    1: "User-agent: *\nDisallow: /\n\nUser-agent: Prosp\nUser-agent: other\nDisallow: /fr/\nAllow: /fr/*ref=\nDisallow: /es/*1$\nDisallow:\n",
+}
+
+
 @query("""
-with rules(allow, pattern, len) as (values (true, '^/en/', 4), (false, '^/', 1), (true, '^/fr/[0-9]+$', 5), (false, '^/fr/', 4), (true, '^/es/.*ref=', 9)),
-u as (select page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') as path from pages),
-m as (select page_id, coalesce(max(len) filter (allow and regexp_matches(path, pattern)), -1) as a, coalesce(max(len) filter (not allow and regexp_matches(path, pattern)), -1) as b from u, rules group by 1)
+with u as (select page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) as host, regexp_replace(url, '^[a-z]+://[^/]*', '') as path from pages),
+rules(kind, allow, pattern, size) as (values (0, false, '^/', 1), (0, true, '^/en/', 4), (1, false, '^/fr/', 4), (1, true, '^/fr/.*ref=', 9), (1, false, '^/es/.*1$', 7)),
+m as (select page_id, coalesce(max(size) filter (allow and regexp_matches(path, pattern)), -1) as a, coalesce(max(size) filter (not allow and regexp_matches(path, pattern)), -1) as b from u left join rules on kind = length(host) % 2 and length(host) % 3 > 0 group by 1)
 select page_id, a >= b as allowed from m""")
 def robots_evaluation(spark, d):
-    """The longest matching rule decides, an allowing one at equal length; no rule allows."""
-    rules = [(True, "^/en/", 4), (False, "^/", 1), (True, "^/fr/[0-9]+$", 5), (False, "^/fr/", 4), (True, "^/es/.*ref=", 9)]
-    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
-    longest = lambda kind: F.greatest(*(F.when(path.rlike(p), n).otherwise(-1) for a, p, n in rules if a == kind))
-    return load(spark, d, "pages").select("page_id", (longest(True) >= longest(False)).alias("allowed"))
+    """Each host's robots text (hosts of some lengths have none) against the paths of its pages."""
+    pages = load(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("path"))
+    robots = pages.select("host").distinct().where(F.length("host") % 3 > 0).withColumn("text", F.when(F.length("host") % 2 == 0, _ROBOTS[0]).otherwise(_ROBOTS[1]))
+    return robots_verdicts(pages, robots_table(robots, "Prospark-Bot")).select("page_id", "allowed")

@@ -20,5 +20,5 @@ def query(oracle: str | None = None):
     return register
 
 
-from .plans import accounts, audience, crm, identity, prospects, texts  # noqa: E402, F401
+from .plans import accounts, audience, contacts, crm, identity, prospects, texts  # noqa: E402, F401
 from .streaming import audience as _streams  # noqa: E402, F401

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fold
@@ -47,11 +47,13 @@ def _bare(text: str) -> str:
 
 
 def read_rss(spark: SparkSession, path: str, most: int = 100) -> DataFrame:
-    """Items with a title and a link, of each file; the guid falls back to the link, texts are cut to 200 characters."""
+    """Items with a title and a link, the first `most` of each file; the guid falls back to the link, texts are cut to 200."""
     items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, guid string, pubDate string, description string").load(path)
+    items = items.withColumns({"_file": F.input_file_name(), "_place": F.monotonically_increasing_id()})
     cut = lambda c: F.substring(F.trim(c), 1, 200).alias(c)
     kept = items.where("trim(coalesce(title, '')) != '' and trim(coalesce(link, '')) != ''")
-    return kept.select(F.coalesce(F.trim("guid"), F.trim("link")).alias("guid"), cut("title"), F.trim("link").alias("link"), "pubDate", cut("description")).limit(most)
+    first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_place"))).where(F.col("_n") <= most)
+    return first.select(F.coalesce(F.trim("guid"), F.trim("link")).alias("guid"), cut("title"), F.trim("link").alias("link"), "pubDate", cut("description"))
 
 
 def sniff(path: Column, content: Column) -> Column:
@@ -161,6 +163,28 @@ def robots_allowed(paths: Column, text: str, agent: str) -> Column:
     return longest(True) >= longest(False)
 
 
+def robots_table(robots: DataFrame, agent: str) -> DataFrame:
+    """(host, rules) of robots texts (host, text), a row a host: an array as long as the host's file has rules."""
+
+    def run(parts):
+        for pdf in parts:
+            rules = [[{"allow": a, "pattern": p, "size": n} for a, p, n in robots_rules(t or "", agent)] for t in pdf.text]
+            yield pd.DataFrame({"host": pdf.host, "rules": rules})
+
+    return robots.select("host", "text").mapInPandas(run, "host string, rules array<struct<allow: boolean, pattern: string, size: int>>")
+
+
+def robots_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """paths (host, path) with allowed: the longest rule of the host decides, an allowing one of equals; no rule allows."""
+    found = paths.join(rules, "host", "left")
+
+    def longest(kind: bool) -> Column:
+        hits = F.filter("rules", lambda r: (r.allow == kind) & F.regexp_like(F.col("path"), r.pattern))
+        return F.coalesce(F.array_max(F.transform(hits, lambda r: r.size)), F.lit(-1))
+
+    return found.withColumn("allowed", longest(True) >= longest(False)).drop("rules")
+
+
 def read_points(df: DataFrame, tags: str = "tags") -> DataFrame:
     """Points of interest: contacts from the tags that hold them, the company number from the establishment's."""
     first = lambda *names: F.coalesce(*(F.nullif(F.trim(F.try_element_at(tags, F.lit(n))), F.lit("")) for n in names))

@@ -11,8 +11,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 class PagedSource(DataSource):
     """format("paged") over `fetch`, the name "module:function" of a function cursor -> (edition, csv text, next cursor).
 
-    Cursors are followed on the driver without keeping the pages (at most `pages` of them); a change of edition on the way
-    raises, so no load mixes two.  Each task fetches its own page and checks the edition again.
+    Cursors are followed on the driver without keeping the pages, from option `cursor` on; a change of edition on the way
+    raises, so no load mixes two.  Each task fetches its own page and checks the edition again.  If there are more than
+    `pages` pages, the load raises and names the cursor to go on from, unless option `partial` is true.
     """
 
     @classmethod
@@ -37,7 +38,7 @@ class PagedReader(DataSourceReader):
         return getattr(import_module(module), function)(cursor)
 
     def partitions(self):
-        cursor, edition, out = "", None, []
+        cursor, edition, out = self.options.get("cursor", ""), None, []
         while cursor is not None and len(out) < int(self.options.get("pages", 17)):
             found, _, following = self._fetch(cursor)
             if edition is not None and found != edition:
@@ -45,6 +46,8 @@ class PagedReader(DataSourceReader):
             edition = found
             out.append(InputPartition((cursor, edition)))
             cursor = following
+        if cursor is not None and self.options.get("partial", "false").lower() != "true":
+            raise ValueError(f"the source has more than {len(out)} pages: the next one is at cursor {cursor}")
         return out
 
     def read(self, partition):

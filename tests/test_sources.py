@@ -87,3 +87,19 @@ def test_paged(spark):
     assert sorted((r.id, r.name) for r in read("fetch").collect()) == [("1", "a"), ("2", "b"), ("3", None), ("4", "d, e")]
     with pytest.raises(Exception, match="edition"):
         read("fetch_changing").collect()
+
+
+def test_paged_stops_aloud(spark):
+    read = lambda **o: spark.read.format("paged").option("fetch", "paged_fixture:fetch").option("columns", "id string, name string").options(**o).load().count()
+    assert read() == 4
+    with pytest.raises(Exception, match="more than 1 pages"):
+        read(pages="1")
+    assert read(pages="1", partial="true") == 2
+    assert read(cursor="p2") == 2
+
+
+def test_rss_caps_each_file(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 1)):
+        items = "".join(f"<item><title>T{i}</title><link>http://{name}/{i}</link></item>" for i in range(n))
+        (tmp_path / f"{name}.xml").write_text(f"<rss><channel>{items}</channel></rss>")
+    assert sorted(r.guid for r in files.read_rss(spark, str(tmp_path), 2).collect()) == ["http://a/0", "http://a/1", "http://b/0"]
