@@ -4,18 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; where that is unset (local tests) below a temporary folder."""
+@lru_cache
+def _own(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own(spark.sparkContext.applicationId)
+    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below this application's one in spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) takes a temporary folder; on a cluster it raises.
+    """
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes all that this application stored, once its results are written elsewhere: later reads of them fail."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, *partitioning: str) -> DataFrame:

@@ -66,3 +66,19 @@ def test_pipeline_runs(spark, sf_dir, none):
     assert out.count() and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_stored_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    from prospark.llm import _shared
+
+    monkeypatch.setattr(_shared, "_base", lambda _: f"file://{tmp_path}/own")
+    assert _shared.stored(spark.range(3)).count() == 3
+    assert (tmp_path / "own").exists()
+    _shared.clear_stored(spark)
+    assert not (tmp_path / "own").exists()
+
+
+def test_own_folder_is_kept_for_an_application():
+    from prospark.llm import _shared
+
+    assert _shared._own("a") == _shared._own("a") != _shared._own("b")
