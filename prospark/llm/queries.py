@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents, shared_dir
+from .merkle import ORACLE_SQL as MERKLE_SQL
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op5_toxicity, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(documents(spark, sf_dir))
+
+
+_ALL = (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op5_toxicity, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality, op11_merkle_manifest)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
