@@ -76,6 +76,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(documents(spark, sf_dir))
 
 
-_ALL = (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op5_toxicity, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality, op11_merkle_manifest)
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(documents(spark, sf_dir))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import extract
+
+    return extract(documents(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_packing, op2_hmm, op3_decontamination, op4_winnowing, op5_toxicity, op6_token_files, op7_pii, op8_line_dedup, op9_jaccard_join, op10_quality, op11_merkle_manifest, op12_token_alignment, op13_html_extraction)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
