@@ -14,7 +14,7 @@ anew where they are skewed, and nothing gathers a host's pages.
 
 Defined results: null or empty html gives an empty text; a null or unreadable url is a page without host, which meets no
 wrapper; copies of a page count once; hosts with fewer than LEAST distinct pages have no wrapper.  If more than half of the
-characters of an article are constant, the host's pages are copies of it and it stays whole.  Elements nested deeper than 200 count as nested so deep.
+characters of a marked article are constant, the host's pages are copies of it and it stays whole.  Elements nested deeper than 200 count as nested so deep.
 """
 
 from __future__ import annotations
@@ -38,11 +38,11 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def blocks(root: _dom.Node) -> list[tuple[int, _dom.Leaf]]:
-    """The blocks of the content, with their places among all leaves."""
+def blocks(root: _dom.Node) -> tuple[list[tuple[int, _dom.Leaf]], bool]:
+    """The blocks of the content with their places among all leaves, and whether an article is marked."""
     every = _dom.leaves(root)
     inside = [(k, x) for k, (x, noise, main) in enumerate(every) if main and not noise]
-    return inside or [(k, x) for k, (x, noise, _) in enumerate(every) if not noise and x.linked < LINKED * len(x.text)]
+    return inside or [(k, x) for k, (x, noise, _) in enumerate(every) if not noise and x.linked < LINKED * len(x.text)], bool(inside)
 
 
 def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, outlines = [], []
         for page in batch.column(1):
             root = _dom.parse(page.as_py() or "")
-            found = blocks(root)
+            found, _ = blocks(root)
             content.append(_dom.number("\n".join(x.text for _, x in found)))
             outlines.append(json.dumps([[k for k, _ in found], _dom.outline(root)], separators=(",", ":")))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(outlines, pa.string())], names=["host", "content", "outline"])
@@ -104,14 +104,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def text_of(page: str | None, wrapper: tuple[_dom.Tree, list] | None = None, constant: list[int] | None = None) -> str:
     """The main text of one page, without the constant leaves of its host's wrapper."""
     root = _dom.parse(page or "")
-    found = blocks(root)
+    found, marked = blocks(root)
     if wrapper is not None and found:
         tree, texts = wrapper
         own, own_texts = _dom.trees(_dom.outline(root))
         fixed = set(constant or ())
         gone = {j for i, j in _dom.match(tree, own) if i in fixed and texts[i] == own_texts[j]}
-        if 2 * sum(len(x.text) for k, x in found if k in gone) <= sum(len(x.text) for _, x in found):
-            found = [(k, x) for k, x in found if k not in gone]
+        left = [(k, x) for k, x in found if k not in gone]
+        if not marked or 2 * sum(len(x.text) for _, x in left) >= sum(len(x.text) for _, x in found):
+            found = left
     return " ".join(x.text for _, x in found)
 
 
