@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fold
+from . import quoted
 
 VCARD = "path string, prenom string, nom string, poste string, societe string, email string, tel string, linkedin string, site string"
 
@@ -24,19 +25,21 @@ def separator(line: str) -> str:
     return max(";,\t", key=lambda c: (bare.count(c), -";,\t".index(c)))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, required: list[str] = []) -> DataFrame:  # noqa: B006
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, required: list[str] = [], multiline: bool = True, dash: bool = True) -> DataFrame:  # noqa: B006
     """CSV with its separator told from the first line, quotes doubled inside quotes, line breaks in cells, blank rows out.
 
-    Headers become accent-free lower case with underscores; a missing required column raises.  A dash alone is empty.
+    Headers become accent-free lower case with underscores; a missing required column raises.  With `dash` a dash alone is
+    empty.  Files are read in as many tasks as they have splits; without `multiline` a quotation ends with its line.
     """
     first = spark.read.text(path).limit(1).collect()
-    sep = sep or separator(first[0][0].lstrip("﻿") if first else "")
-    df = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, encoding="UTF-8", mode="PERMISSIVE")
-    clean = lambda c: re.sub("[^a-z0-9]+", "_", _bare(c.lstrip("﻿"))).strip("_")
-    df = df.toDF(*[clean(c) for c in df.columns])
-    if lost := [c for c in required if c not in df.columns]:
+    sep = sep or separator(first[0][0].lstrip("\ufeff") if first else "")
+    clean = lambda c: re.sub("[^a-z0-9]+", "_", _bare(c)).strip("_")
+    names = [clean(c) for c in quoted.header(spark, path, sep, multiline)]
+    if lost := [c for c in required if c not in names]:
         raise ValueError(f"missing columns: {', '.join(lost)}")
-    df = df.select(*(F.when(F.trim(c).isin("", "-"), None).otherwise(F.trim(c)).alias(c) for c in df.columns))
+    df = quoted.with_header(quoted.read_records(spark, path, sep, multiline), names)
+    empty = ("", "-") if dash else ("",)
+    df = df.select(*(F.when(F.trim(c).isin(*empty), None).otherwise(F.trim(c)).alias(c) for c in df.columns))
     return df.dropna("all")
 
 
