@@ -22,4 +22,5 @@ def query(oracle: str | None = None):
 
 from .plans import accounts, audience, contacts, crm, identity, prospects, texts  # noqa: E402, F401
 from .streaming import audience as _streams  # noqa: E402, F401
+from .sinks import rollup as _rollup  # noqa: E402, F401
 from .streaming import presence as _presence  # noqa: E402, F401

@@ -38,17 +38,22 @@ def flush_batches(stream: DataFrame, write, checkpoint: str, every: str = "10 se
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, by one available-now run into Parquet below spark.checkpoint.dir.
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors see.
 
     Where that is unset, a local session uses a temporary folder; on a cluster it raises, as executors don't share one.
     """
-    spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """All that is there now, by one available-now run into Parquet in a work folder."""
+    spark = stream.sparkSession
+    path = work_folder(spark)
     written: dict[int, str] = {}
 
     def write(batch: DataFrame, i: int) -> None:
