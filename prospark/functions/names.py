@@ -76,12 +76,15 @@ def parse_address(x: Column) -> Column:
     return F.struct(number.alias("number"), street_key(F.lit(""), F.when(number != "", after).otherwise(body)).alias("street"))
 
 
+def street_words(x: Column) -> Column:
+    """The words of a street without its kind at the beginning."""
+    words = F.filter(F.split(fold(x), " "), lambda w: w != "")
+    return F.when(F.element_at(F.concat(words, F.array(F.lit(""))), 1).isin(*STREET_KINDS), F.slice(words, 2, 1000)).otherwise(words)
+
+
 def streets_agree(a: Column, b: Column) -> Column:
     """Same words in order without the kind of street; a word may be cut to two letters or more."""
-
-    def own(x):
-        words = F.filter(F.split(fold(x), " "), lambda w: w != "")
-        return F.when(F.element_at(F.concat(words, F.array(F.lit(""))), 1).isin(*STREET_KINDS), F.slice(words, 2, 1000)).otherwise(words)
+    own = street_words
 
     def near(x, y):
         return (x == y) | ((F.least(F.length(x), F.length(y)) >= 2) & (x.startswith(y) | y.startswith(x)))
