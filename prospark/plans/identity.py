@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import domain
-from ..operators.matching import shared_values, signal_votes, tiered, verdict
+from ..functions.names import STREET_STOPS, STREET_WORDS, domain, html_text
+from ..operators.evidence import LEGAL_WORDS, legal_links, site_evidence, visit_budget
+from ..operators.matching import shared_values, signal_votes, tiered
 from ..registry import query
 from ..session import load
 from ..sources.files import robots_table, robots_verdicts
@@ -61,13 +62,78 @@ def tiered_match(spark, d):
     return tiered(left, right, [(4, ["cp", "street", "num"]), (2, ["cp", "street"]), (1, ["cp"])], "soc", "poi", "site")
 
 
-@query("""
-with e as (select doc_id, doc_id % 11 = 0 as siret, contains(text, 'The') as a, contains(text, 'And') as b, contains(text, 'Of') as c, doc_id % 3 = 0 as attested from documents)
-select doc_id, case when siret then 'certain' when a::int + b::int + c::int >= case when attested then 1 else 2 end then 'presumed' else 'none' end as verdict from e""")
+def _folded(x: str) -> str:
+    return f"trim(regexp_replace(strip_accents(lower(replace(replace(coalesce({x}, ''), 'ß', ' '), 'ẞ', ' '))), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _streets(x: str) -> str:
+    words = ", ".join(f"'{k}': '{v}'" for k, v in STREET_WORDS.items())
+    stops = ", ".join(f"'{w}'" for w in STREET_STOPS)
+    return f"array_to_string(list_transform(list_filter(string_split({_folded(x)}, ' '), lambda w: w <> '' and not list_contains([{stops}], w)), lambda w: coalesce(map_extract(MAP {{{words}}}, w)[1], w)), ' ')"
+
+
+_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_OWN = "case page_id % 13 when 0 then ' SIRET 123.456.789 00012' when 1 then ' RCS 987 654 321, 75002' when 2 then ' 12 r. du Bac 75002' else '' end"
+
+
+@query(f"""
+with p as (select page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) as host, {_TEXT} || {_OWN} as text from pages),
+f as (select host, string_split(min_by(text, page_id), ' ') as w, length(host) as n from p group by 1),
+r as (select host, case n % 4 when 0 then '123456789' when 1 then '987654321' else '' end as siren, case when n % 3 = 0 then w[6] || ' ' || w[5] else w[5] || '-' || w[6] end as name, case n % 2 when 0 then w[9] else 'Zzyzx' end as manager, w[12] as city, case n % 5 when 0 then '75002' else '' end as cp,
+ case n % 6 when 0 then 'rue' else '' end as kind, case n % 6 when 0 then 'du Bac' when 1 then w[15] || ' des ' || w[16] else '' end as street, case n % 6 when 2 then '12 RUE DU BAC 75002 PARIS' when 3 then w[20] end as address, n % 7 = 0 as attested from f),
+k as (select *, {_folded("name")} as fname, {_folded("manager")} as fman, {_folded("city")} as fcity, case when street <> '' then {_streets("kind || ' ' || street")} when address like '12 %' then 'rue bac' when address is not null and not regexp_matches(address, '[0-9]') then {_streets("address")} else '' end as fstreet, case when street = '' and address like '12 %' then '12' else '' end as number from r),
+x as (select page_id, host, text, {_folded("text")} as plain, ' ' || {_streets("text")} || ' ' as streets, list_transform(regexp_extract_all(text, '\\b[0-9]{{3}}[\\s. ]?[0-9]{{3}}[\\s. ]?[0-9]{{3}}\\b'), lambda v: regexp_replace(v, '[^0-9]', '', 'g')) as sirens,
+ list_transform(regexp_extract_all(text, '\\b[0-9]{{3}}[\\s. ]?[0-9]{{3}}[\\s. ]?[0-9]{{3}}[\\s. ]?[0-9]{{5}}\\b'), lambda v: left(regexp_replace(v, '[^0-9]', '', 'g'), 9)) as sirets from p),
+s as (select k.host, any_value(attested) as attested, bool_or(siren <> '' and (list_contains(sirens, siren) or list_contains(sirets, siren))) as a, bool_or(length(fname) >= 4 and contains(plain, fname)) as b, bool_or(length(fcity) >= 3 and contains(plain, fcity)) as c, bool_or(length(cp) = 5 and regexp_matches(text, '\\b' || cp || '\\b')) as d,
+ bool_or(length(fstreet) >= 4 and ((number <> '' and contains(streets, ' ' || number || ' ' || fstreet || ' ')) or (contains(fstreet, ' ') and contains(streets, ' ' || fstreet || ' ')))) as e, bool_or(length(fman) >= 3 and contains(plain, fman)) as f from k join x on k.host = x.host group by 1)
+select host, case when a then 'certain' when b::int + ((c and d) or e)::int + f::int >= case when attested then 1 else 2 end then 'presumed' else 'none' end as verdict,
+ array_to_string(list_filter([case when a then 'siret' end, case when b then 'raison_sociale' end, case when (c and d) or e then 'adresse' end, case when f then 'dirigeant_nom' end], lambda v: v is not null), ',') as signals from s""")
 def evidence_crosscheck(spark, d):
-    t = F.col("text")
-    docs = load(spark, d, "documents")
-    return docs.select("doc_id", verdict(F.col("doc_id") % 11 == 0, [t.contains("The"), t.contains("And"), t.contains("Of")], F.col("doc_id") % 3 == 0).alias("verdict"))
+    """A record for each host, put together from words of its pages, against all pages of the host."""
+    i = F.col("page_id") % 13
+    more = F.when(i == 0, " SIRET 123.456.789 00012").when(i == 1, " RCS 987 654 321, 75002").when(i == 2, " 12 r. du Bac 75002").otherwise("")
+    pages = load(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.concat(html_text(F.col("html")), more).alias("text"))
+    n, word = F.length("host"), lambda k: F.try_element_at("w", F.lit(k))
+    first = pages.groupBy("host").agg(F.split(F.min_by("text", "page_id"), " ").alias("w"))
+    records = first.select(
+        F.col("host").alias("record_id"), "host", F.when(n % 4 == 0, "123456789").when(n % 4 == 1, "987654321").otherwise("").alias("siren"), F.when(n % 3 == 0, F.concat(word(6), F.lit(" "), word(5))).otherwise(F.concat(word(5), F.lit("-"), word(6))).alias("raison_sociale"),
+        F.when(n % 2 == 0, word(9)).otherwise("Zzyzx").alias("dirigeant_nom"), word(12).alias("ville"), F.when(n % 5 == 0, "75002").otherwise("").alias("code_postal"), F.lit("").alias("numero_voie"), F.when(n % 6 == 0, "rue").otherwise("").alias("type_voie"),
+        F.when(n % 6 == 0, "du Bac").when(n % 6 == 1, F.concat(word(15), F.lit(" des "), word(16))).otherwise("").alias("libelle_voie"), F.when(n % 6 == 2, "12 RUE DU BAC 75002 PARIS").when(n % 6 == 3, word(20)).alias("adresse"), (n % 7 == 0).alias("attested"),
+    )
+    return site_evidence(records, pages).select(F.col("record_id").alias("host"), "verdict", F.array_join("signals", ",").alias("signals"))
+
+
+_LINK = """case page_id % 5 when 0 then '<A class="x" href="../mentions-legales?x=1">Mentions <b>l&eacute;gales</b></A>' when 1 then '<a href=''//OTHER.example/contact''>Contact</a><a href="?cgv">x</a>' when 2 then '<a href="./a/./b/../nous-contacter">Nous contacter</a><a href="mailto:contact@x.fr">contact</a>' when 3 then '<a href="/Legal#top">a</a><a href="/legal/">b</a><a href="/legal/">c</a>' else '' end"""
+
+
+@query(rf"""
+with h as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, html || {_LINK} as html from pages),
+a as (select page_id, origin, path, unnest(regexp_extract_all(html, '<a\b[^>]*href\s*=\s*["''][^"'']+["''][^>]*>.*?</a>', 0, 'is')) as a from h),
+l as (select page_id, origin, path, regexp_extract(a, 'href\s*=\s*["'']([^"'']+)["'']', 1, 'i') as href, {_folded("regexp_replace(regexp_extract(a, '^<a\b[^>]*>(.*)</a>$', 1, 'is'), '<[^>]+>', ' ', 'g')")} as label from a),
+k as (select *, {_folded("href")} as plain from l),
+w(word) as (values {", ".join(f"('{x}')" for x in LEGAL_WORDS)}),
+m as (select distinct page_id, origin, path, href from k join w on contains(label, word) or contains(plain, replace(word, ' ', '')) or contains(plain, word)),
+u as (select page_id, case when starts_with(href, '//') or href like 'mailto:%' then null when starts_with(href, '/') then origin || href when starts_with(href, '?') then origin || path || href
+ when starts_with(href, '../') then origin || case when len(string_split(path, '/')) > 3 then array_to_string(string_split(path, '/')[:-3], '/') else '' end || substr(href, 3) when starts_with(href, './') then origin || regexp_extract(path, '^(.*/)', 1) || 'a/nous-contacter' else origin || regexp_extract(path, '^(.*/)', 1) || href end as url from m)
+select page_id, array_to_string(list_sort(list(distinct url)), ' ') as links from u where url is not null group by 1""")
+def same_host_links(spark, d):
+    """Legal and contact links of pages as addresses on their own host: relative ones resolved, other hosts and mail left out."""
+    i = F.col("page_id") % 5
+    more = F.when(i == 0, '<A class="x" href="../mentions-legales?x=1">Mentions <b>l&eacute;gales</b></A>').when(i == 1, "<a href='//OTHER.example/contact'>Contact</a><a href=\"?cgv\">x</a>").when(i == 2, '<a href="./a/./b/../nous-contacter">Nous contacter</a><a href="mailto:contact@x.fr">contact</a>').when(i == 3, '<a href="/Legal#top">a</a><a href="/legal/">b</a><a href="/legal/">c</a>').otherwise("")
+    links = load(spark, d, "pages").select("page_id", legal_links(F.concat("html", more), F.col("url")).alias("links"))
+    return links.where(F.size("links") > 0).select("page_id", F.array_join(F.array_sort("links"), " ").alias("links"))
+
+
+@query(f"""
+with c as (select page_id, place, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || path as url, contains(path, 'contact') as contact from pages, (values (0, '/a'), (1, '/legal-1'), (2, '/b'), (3, '/mentions-legales'), (4, '/mentions'), (5, '/cgv'), (6, '/contact')) t(place, path) where (page_id + place) % 3 > 0 or place = 6),
+r as (select *, row_number() over (partition by page_id, contact order by place) = 1 as reserved from c), n as (select *, row_number() over (partition by page_id order by reserved desc, place) as n from r)
+select page_id, url, case when contact then 'contact' else 'mentions' end as nature from n where n <= 4""")
+def visit_plan(spark, d):
+    """Which of a site's candidate pages to read: one legal and one contact page are kept, the others in order."""
+    paths = [(0, "/a"), (1, "/legal-1"), (2, "/b"), (3, "/mentions-legales"), (4, "/mentions"), (5, "/cgv"), (6, "/contact")]
+    each = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(p).alias("path")) for i, p in paths))
+    c = load(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("origin"), F.explode(each).alias("p")).where("(page_id + p.place) % 3 > 0 or p.place = 6")
+    return visit_budget(c.select("page_id", F.concat("origin", "p.path").alias("url"), "p.place"), "page_id", "url", "place").select("page_id", "url", "nature")
 
 
 @query("""
