@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.names import company_key
 from ..functions.values import blank, cents, first_filled
+from .rows import first_filled_by
 
 
 def table_or_empty(spark: SparkSession, name: str, schema: str | StructType) -> DataFrame:
@@ -95,18 +97,29 @@ def preview(df: DataFrame, order: list[Column], shown: int = 5, marked: int = 50
 
 
 def import_people(stored: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Joins imported people with stored ones by mail, else by name and company; filled fields stay, blank ones are filled.
+    """Imported rows as people, met with stored ones: row_id (a person's first row), rows, id, outcome and filled fields.
 
-    stored has id, email, name, company and fields, one row a person; rows has row_id instead of id.  outcome tells which.
+    stored has id, email, name, company and fields; rows has row_id instead of id.  Rows of one mail are one person, rows
+    without a mail those of one name and company; their fields are filled in the order of row_id.  A person with a mail meets
+    the stored one of this mail and nobody else; one without meets that of the same name and company, both as keys.  Of
+    several stored ones the smallest id counts.  Filled fields stay; outcome is by mail, by name or created.
     """
-    low = lambda c: F.lower(F.trim(F.col(c)))
-    old = stored.select(F.col("id").alias("_id"), low("email").alias("_mail"), low("name").alias("_name"), low("company").alias("_company"), *(F.col(f).alias(f"_{f}") for f in fields))
-    by_mail = old.where(~blank("_mail")).groupBy("_mail").agg(F.min("_id").alias("mail_id"))
-    by_name = old.where(~blank("_name") & ~blank("_company")).groupBy("_name", "_company").agg(F.min("_id").alias("name_id"))
-    new = rows.join(by_mail, low("email") == F.col("_mail"), "left").join(by_name, (low("name") == F.col("_name")) & (low("company") == F.col("_company")), "left").drop("_name", "_company", "_mail")
-    new = new.withColumn("found", F.coalesce("mail_id", "name_id")).join(old.drop("_mail", "_name", "_company"), F.col("found") == F.col("_id"), "left")
+    names = stored.select("id", company_key(F.col("name")).alias("_name"), company_key(F.col("company")).alias("_company"))
+    by_mail = _people(stored).where("_mail != ''").groupBy("_mail").agg(F.min("id").alias("mail_id"))
+    by_name = names.where("_name != ''").groupBy("_name", "_company").agg(F.min("id").alias("name_id"))
+    keys = ["_mail", "_name", "_company"]
+    people = first_filled_by(_people(rows).withColumn("_first", F.col("row_id")), keys, ["row_id"], ["_first", *fields])
+    met = people.join(by_mail, "_mail", "left").join(by_name, ["_name", "_company"], "left").withColumnRenamed("_first", "row_id")
+    old = stored.select(F.col("id").alias("_id"), *(F.col(f).alias(f"_old_{f}") for f in fields))
+    new = met.withColumn("found", F.coalesce("mail_id", "name_id")).join(old, F.col("found") == F.col("_id"), "left")
     outcome = F.when(F.col("mail_id").isNotNull(), "by mail").when(F.col("name_id").isNotNull(), "by name").otherwise("created")
-    return new.select("row_id", F.col("found").alias("id"), outcome.alias("outcome"), *(first_filled(f"_{f}", f).alias(f) for f in fields))
+    return new.select("row_id", "rows", F.col("found").alias("id"), outcome.alias("outcome"), *(first_filled(f"_old_{f}", f).alias(f) for f in fields))
+
+
+def _people(df: DataFrame) -> DataFrame:
+    """df with the keys of its people: _mail, and _name and _company, which are blank where a mail tells the person."""
+    mail = F.when(~blank("email"), F.lower(F.trim(F.col("email")))).otherwise("")
+    return df.withColumns({"_mail": mail, "_name": F.when(mail == "", company_key(F.col("name"))).otherwise(""), "_company": F.when(mail == "", company_key(F.col("company"))).otherwise("")})
 
 
 def propagate(target: DataFrame, source: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:

@@ -48,6 +48,15 @@ def merge_fill(old: DataFrame, new: DataFrame, key: str, fill: list[str], always
     return joined.select(*columns, F.when(~there, "created").when(comes, "updated").otherwise("kept").alias("action"))
 
 
+def first_filled_by(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """One row a key: of each column the first value by `order` that isn't blank, else null; and `rows`, how many there were.
+
+    The order must be total, or the smallest of tied values counts.  It is a plain aggregate: tasks sum up before the shuffle.
+    """
+    first = lambda c: F.min(F.when(~blank(F.col(c).cast("string")), F.struct(*order, F.col(c).alias("_v"))))["_v"].alias(c)
+    return df.groupBy(*keys).agg(*map(first, columns), F.count("*").alias("rows"))
+
+
 def changed_fields(old: str, new: str, names: list[str]) -> Column:
     """Names whose values differ between two structs; blanks are equal, values compare as text."""
     text = lambda side, c: F.coalesce(F.trim(F.col(f"{side}.{c}").cast("string")), F.lit(""))

@@ -88,18 +88,27 @@ def search_preview(spark, d):
     return crm.preview(_cards(spark, d), [F.desc("price"), F.asc("id")], 5, 50).select("id", "position", "kind")
 
 
-_PEOPLE_SQL = """old as (select c_custkey as id, case when c_custkey % 3 > 0 then 'p' || (c_custkey % 900) || '@x.org' end as email, 'n' || (c_custkey % 400) as name, c_mktsegment as company, case when c_custkey % 2 = 0 then 'tel' || c_custkey else '' end as tel from customer),
-new as (select s_suppkey as row_id, case when s_suppkey % 2 = 0 then ' P' || (s_suppkey * 7) || '@x.org' end as email, 'N' || (s_suppkey * 3) as name, case s_suppkey % 3 when 0 then 'furniture' when 1 then 'BUILDING ' end as company, 'new' || s_suppkey as tel from supplier),
-m as (select lower(trim(email)) as mail, min(id) as mail_id from old where coalesce(trim(email), '') <> '' group by 1), k as (select lower(trim(name)) as n, lower(trim(company)) as c, min(id) as name_id from old where trim(company) <> '' group by 1, 2)"""
-
-
-@query(f"""with {_PEOPLE_SQL}, f as (select new.*, mail_id, name_id, coalesce(mail_id, name_id) as found from new left join m on lower(trim(email)) = mail left join k on lower(trim(name)) = n and lower(trim(company)) = c)
-select row_id, found as id, case when mail_id is not null then 'by mail' when name_id is not null then 'by name' else 'created' end as outcome, case when coalesce(trim(old.tel), '') <> '' then old.tel else f.tel end as tel from f left join old on old.id = found""")
+_KEY = "regexp_replace(trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g')), '((^| )(sarl|sasu|eurl|sas|sci|sa|sl|paris))+$', '')"
+_PEOPLE_SQL = f"""old as (select c_custkey as id, case when c_custkey % 3 > 0 then 'p' || (c_custkey % 900) || '@x.org' end as email, 'n' || (c_custkey % 400) as name, c_mktsegment as company, case when c_custkey % 2 = 0 then 'tel' || c_custkey else '' end as tel, case when c_custkey % 5 = 0 then ' ' else 'job' end as poste from customer),
+new as (select s_suppkey as row_id, case when s_suppkey % 3 = 0 then ' P' || (s_suppkey % 40 * 7) || '@X.org' when s_suppkey % 7 = 0 then ' ' end as email, case s_suppkey % 4 when 0 then 'N-' else 'n' end || (s_suppkey % 60 * 3) as name, case s_suppkey % 3 when 1 then 'furniture SARL' when 2 then 'Bâtiment ' || s_suppkey % 2 end as company, case when s_suppkey % 4 > 0 then 'new' || s_suppkey end as tel, case when s_suppkey % 6 = 0 then 'chef' || s_suppkey else ' ' end as poste from supplier),
+keyed as (select *, case when trim(coalesce(email, '')) <> '' then lower(trim(email)) else '' end as mail from new),
+grouped as (select mail, case when mail = '' then {_KEY.format("name")} else '' end as n, case when mail = '' then {_KEY.format("company")} else '' end as c, min(row_id) as row_id, count(*) as rows,
+ min_by(tel, row_id) filter (trim(tel) <> '') as tel, min_by(poste, row_id) filter (trim(poste) <> '') as poste from keyed group by 1, 2, 3),
+m as (select lower(trim(email)) as mail, min(id) as mail_id from old where trim(email) <> '' group by 1), k as (select {_KEY.format("name")} as n, {_KEY.format("company")} as c, min(id) as name_id from old group by 1, 2)"""
+
+
+@query(f"""with {_PEOPLE_SQL}, f as (select g.*, mail_id, name_id, coalesce(mail_id, name_id) as found from grouped g left join m on g.mail <> '' and g.mail = m.mail left join k on g.mail = '' and g.n = k.n and g.c = k.c and k.n <> '')
+select row_id, rows, found as id, case when mail_id is not null then 'by mail' when name_id is not null then 'by name' else 'created' end as outcome,
+ case when trim(coalesce(old.tel, '')) <> '' then old.tel else f.tel end as tel, case when trim(coalesce(old.poste, '')) <> '' then old.poste else f.poste end as poste from f left join old on old.id = found""")
 def import_people(spark, d):
+    """A file with repeated people: by mail or not at all where there is one, by the keys of name and company where not."""
     k, j = F.col("c_custkey"), F.col("s_suppkey")
-    old = load(spark, d, "customer").select(k.alias("id"), F.when(k % 3 > 0, F.concat(F.lit("p"), k % 900, F.lit("@x.org"))).alias("email"), F.concat(F.lit("n"), k % 400).alias("name"), F.col("c_mktsegment").alias("company"), F.when(k % 2 == 0, F.concat(F.lit("tel"), k)).otherwise("").alias("tel"))
-    new = load(spark, d, "supplier").select(j.alias("row_id"), F.when(j % 2 == 0, F.concat(F.lit(" P"), j * 7, F.lit("@x.org"))).alias("email"), F.concat(F.lit("N"), j * 3).alias("name"), F.when(j % 3 == 0, "furniture").when(j % 3 == 1, "BUILDING ").alias("company"), F.concat(F.lit("new"), j).alias("tel"))
-    return crm.import_people(old, new, ["tel"])
+    old = load(spark, d, "customer").select(k.alias("id"), F.when(k % 3 > 0, F.concat(F.lit("p"), k % 900, F.lit("@x.org"))).alias("email"), F.concat(F.lit("n"), k % 400).alias("name"), F.col("c_mktsegment").alias("company"), F.when(k % 2 == 0, F.concat(F.lit("tel"), k)).otherwise("").alias("tel"), F.when(k % 5 == 0, " ").otherwise("job").alias("poste"))
+    mail = F.when(j % 3 == 0, F.concat(F.lit(" P"), j % 40 * 7, F.lit("@X.org"))).when(j % 7 == 0, " ")
+    name = F.concat(F.when(j % 4 == 0, "N-").otherwise("n"), j % 60 * 3)
+    company = F.when(j % 3 == 1, "furniture SARL").when(j % 3 == 2, F.concat(F.lit("Bâtiment "), j % 2))
+    new = load(spark, d, "supplier").select(j.alias("row_id"), mail.alias("email"), name.alias("name"), company.alias("company"), F.when(j % 4 > 0, F.concat(F.lit("new"), j)).alias("tel"), F.when(j % 6 == 0, F.concat(F.lit("chef"), j)).otherwise(" ").alias("poste"))
+    return crm.import_people(old, new, ["tel", "poste"])
 
 
 @query("""with t as (select c_custkey as id, 'old' as site, case when c_custkey % 2 = 0 then 'm' || c_custkey end as mail from customer), s as (select s_suppkey as id, case when s_suppkey % 3 > 0 then 's' || s_suppkey else ' ' end as web, 'm' || (s_suppkey * (s_suppkey % 2)) as mail2 from supplier)
