@@ -1,13 +1,14 @@
 """Personal data and secrets in whole texts by candidate gradient boosting, with DataFrame functions only.
 
 Base patterns with their checks give spans that always count.  High-recall generators propose further, overlapping spans
-(mail-like, masked mail, numbers, dotted quads, bank accounts, long tokens).  Each candidate has a bit mask of format and
-context predicates.  Boosted trees learn from all candidates, labelled by evidence that the format predicates don't hold: a
-country code or a word for telephones before a number (the number is judged without its code), check digits, part limits
-and grammar, an assignment to a name like key or token.  So a candidate without such evidence is judged by how often its
+(mail-like, masked mail, numbers, dotted quads, bank accounts, long tokens).  What fails its check digits, part limits or
+grammar is no candidate.  Each candidate has a bit mask of format and context predicates.  Boosted trees learn from all
+candidates, labelled by evidence that the predicates don't hold: a country code or a word for telephones before a number (the
+number is judged without its code), a check passed, an assignment to a name like key or token.  So a candidate without such evidence is judged by how often its
 form and surroundings have it.  Masks are bounded (2^len(PREDICATES)), so what the trees are fitted on is one small table of
 counts per mask, taken over the whole corpus by Spark; the fitted trees go back into the plan as an SQL expression.
-Thresholds are calibrated per kind on the half of the documents that the trees are not fitted on.  Overlaps go to the
+Thresholds are calibrated per kind on the half of the documents that the trees are not fitted on; a kind with fewer than 20
+candidates there has nothing to calibrate with and keeps 0.9.  Overlaps go to the
 likelier candidate; base spans win.
 """
 
@@ -44,7 +45,7 @@ PREDICATES = (
     *GENERATORS, "separators", "bracket", "groups of four", "digits<8", "digits<10", "digits<13", "digits=16", "digits>19",
     "after a word", "before a word", "cue before", "long", "hexadecimal", "both cases",
 )
-CUES = r"(?i)(mail|tel|phone|call|mobile|fax|card|visa|pay|account|iban|ip|host|server|contact)[^\n]{0,20}$"
+CUES = r"(?i)(mail|card|visa|pay|account|iban|ip|host|server|contact)[^\n]{0,20}$"
 PHONES = r"(?i)\b(tel|t\u00e9l|phone|telefon|call|mobile|fax)[^\n0-9]{0,12}$"
 NAMES = r"(?i)(token|key|secret|passw(or)?d|pwd|auth|credentials?)[\"']?\s*(:|=|=>|is)\s*[\"']?$"
 
@@ -123,21 +124,29 @@ def _kind(name: str, c: Column) -> Column:
     return F.when(F.length(_digits(c.match)) >= 14, "card").otherwise("phone")
 
 
-def _valid(name: str, c: Column) -> Column:
+def _possible(name: str, c: Column) -> Column:
+    """What fails its grammar, its part limits or its check digits is no candidate: no tree can let it through."""
     match name:
         case "mail":
             return c.match.rlike("^" + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}" + "$")
-        case "masked":
-            return F.lit(True)
         case "quad":
             return _octets(c.match)
         case "iban":
             return _iban(c.match)
-        case "token":
-            return c.left.rlike(NAMES)
+        case "number":
+            return _let(_digits(c.match), lambda d: (F.length(d) < 14) | ((F.length(d) <= 19) & _luhn(d)))
+    return F.lit(True)
+
+
+def _valid(name: str, c: Column) -> Column:
+    """Evidence for a possible candidate; what has passed a check has it, open cases need it from around them."""
+    if name == "token":
+        return c.left.rlike(NAMES)
+    if name != "number":
+        return F.lit(True)
     digits = _digits(c.match)
     told = (c.match.startswith("+") & (F.length(digits) >= 10)) | (c.left.rlike(PHONES) & (F.length(digits) >= 8))
-    return F.when(F.length(digits) >= 14, F.length(digits).between(14, 19) & _luhn(digits)).otherwise(told)
+    return F.when(F.length(digits) >= 14, True).otherwise(told)
 
 
 def spans_and_candidates(docs: DataFrame, *keep: str) -> DataFrame:
@@ -155,7 +164,7 @@ def spans_and_candidates(docs: DataFrame, *keep: str) -> DataFrame:
             order = F.coalesce(*(F.when(kind == k, i) for i, k in enumerate(KINDS)))
             return F.struct(c.start.alias("start"), order.alias("order"), c.end.alias("end"), _mask(name, c).alias("mask"), _valid(name, c).alias("valid"))
 
-        return F.transform(_matches(F.col("text"), GENERATORS[name][0]), full)
+        return F.transform(F.filter(_matches(F.col("text"), GENERATORS[name][0]), lambda c: _possible(name, c)), full)
 
     some = lambda column, kind: F.when(F.col("text").isNotNull(), column).otherwise(F.array().cast(kind))
     spans = F.concat(*(base(k, i) for i, k in enumerate(KINDS[:4])))

@@ -130,7 +130,8 @@ def plain_spans(text: str) -> list[tuple[int, int, str]]:
 
 def test_personal_data_against_brute_force(spark, documents, odd):
     """Counts, digest and base spans of whole documents; what is added neither moves nor overlaps them."""
-    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    secrets = spark.createDataFrame([(20_000 + i, f'token = "{i:02d}bebab91ab85687d33eeaaf9ac699e1188f962" end') for i in range(60)], "doc_id long, text string")
+    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(secrets)
     texts = [(r.doc_id, r.text) for r in df.collect()]
     got = pii.find(df).collect()
     assert len(got) == len(texts)
@@ -165,3 +166,18 @@ def test_redact(spark, odd):
     assert sorted((r.text or "", r.base) for r in got) == sorted([("mail <email> now", "x"), ("ip <ip> and <email>", "y"), ("mail <email> now", "x"), ("<phone>!", "z"), ("", "n")])
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and pii.redact(odd.limit(0)).count() == 0
+
+
+def test_what_fails_its_check_is_no_span(spark):
+    """However many valid ones of a form there are, wrong check digits, part limits and grammar are refused."""
+    good = ["pay DE89370400440532013000 now", "host 10.0.0.254 up", "mail a.b@x.example here", "card 4111 1111 1111 1111 ok"]
+    bad = ["pay DE00370400440532013000 now", "host 999.999.999.999 up", "release 2024.10.11.300 is out", "mail a.b@x here", "number 4111 1111 1111 1112 ok"]
+    texts = [t for t in good for _ in range(60)] + bad
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[i] for i in range(240)) and got[0].startswith("iban:4:26")
+    assert {got[240 + k] for k in range(len(bad))} == {""}
+
+
+def test_labels_are_no_predicates():
+    cues, phones = (set(re.findall("[a-zé]{2,}", x.split("(?i)")[1].split(")")[0])) for x in (pii.CUES, pii.PHONES))
+    assert not cues & phones
