@@ -4,8 +4,8 @@ A text's code points (as UTF-32 bytes, so that the k-gram at position i is a con
 hashes; of every window of w consecutive hashes the least is chosen, the rightmost of equal ones.  Any match of at least
 w + k - 1 code points therefore shares a chosen hash, and the kept positions say where.
 
-A chosen hash and its position are one long: 40 bits of hash above 24 bits of (2^24 - 1 - position), so that the minimum
-of longs is the rule above.  Positions are kept modulo 2^24; the list stays in text order for longer texts.  Window minima
+A chosen hash and its position are one long: 33 bits of hash above 31 bits of (2^31 - 1 - position), so that the minimum
+of longs is the rule above, for the longest texts that there can be.  Window minima
 come from log2(w) element-wise passes over arrays.  Texts of fewer than w hashes have one window, shorter texts than k one
 hash, empty and null texts none.
 """
@@ -17,7 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW = (1 << 24) - 1
+_BITS = 31
+_LOW = (1 << _BITS) - 1
 
 
 def _let(value: Column, f) -> Column:
@@ -33,7 +34,7 @@ def _minima(points: Column, n: Column, start: Column, k: int, w: int) -> Column:
     """Minima of the windows that begin at gram `start` or later; points: UTF-32 bytes of n code points."""
 
     def packed(data: Column, i: Column) -> Column:
-        return F.xxhash64(F.substring(data, i * 4 + 1, F.lit(4 * k))).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - i.cast("long").bitwiseAND(F.lit(_LOW)))
+        return F.xxhash64(F.substring(data, i * 4 + 1, F.lit(4 * k))).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - i.cast("long"))
 
     def halves(m: Column, step: int) -> Column:
         if step >= w:
@@ -63,7 +64,7 @@ def chosen(text: Column, k: int = 8, w: int = 8) -> Column:
 
 
 def hash_of(pair: Column) -> Column:
-    return F.shiftright(pair, 24)
+    return F.shiftright(pair, _BITS)
 
 
 def position_of(pair: Column) -> Column:
