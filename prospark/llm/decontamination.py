@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import stored
 from ._words import Block, blocks, hashes, mix
 
 # Spelled numbers and units that stand for placeholders.
@@ -33,7 +34,7 @@ UNITS = (
     "ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days "
     "week weeks month months year years mph kmh percent degree degrees dollar dollars euro euros cent cents usd eur gbp"
 )
-SHORTEST = 4
+WORDS = 3  # of a template window, whatever its placeholders; windows of fewer tokens are all words
 BITS = 1 << 25
 BLOCK = 1 << 20  # bytes of whole texts that a task looks at together
 _NUM, _UNIT, _NAME = 1, 2, 3
@@ -125,7 +126,7 @@ def plain(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of every window of `size` tokens of one text in which words outnumber placeholders."""
+    """First token and hash of every window of `size` tokens of one text that holds WORDS words, or nothing else."""
     n = max(0, len(token) - size + 1)
     factor = mix(np.arange(size).astype(np.uint64), 32 + size) | np.uint64(1)
     value = np.zeros(n, np.uint64)
@@ -133,7 +134,7 @@ def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int, s
         for j in range(size):
             value += token[j : j + n] * factor[j]
     slots = np.concatenate(([0], np.cumsum(kind > 0)))
-    ok = (text[:n] == text[size - 1 :][:n]) & (2 * (slots[size:][:n] - slots[:n]) < size)
+    ok = (text[:n] == text[size - 1 :][:n]) & (size - (slots[size:][:n] - slots[:n]) >= min(size, WORDS))
     return np.flatnonzero(ok), mix(value, 33 + salt)[ok]
 
 
@@ -149,7 +150,7 @@ def _forms(block: Block, column: pa.Array, item: bool):
 
 
 def _rows(ids: pa.Array, column: pa.Array, sizes: list[int], own_size: bool, most: int, keep):
-    """(id, form, position, hash, slots, of, need) batches; own_size: a text of fewer than `most` tokens gives one window, itself.
+    """(id, form, position, hash, slots, of, need, size) batches; own_size: a text of fewer than `most` tokens gives one window, itself.
 
     of: the text's windows; need: those that touch neither its first nor its last token, which may differ in a copy, or one.
     """
@@ -173,28 +174,30 @@ def _rows(ids: pa.Array, column: pa.Array, sizes: list[int], own_size: bool, mos
                 slot = kind[spot] > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(slot.sum(1)))), pa.int32()), pa.array(value[spot[slot]].view(np.int64)))
                 owner = text[first]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + block.first)), pa.array(np.full(len(first), form)), pa.array((first - begin[owner]).astype(np.int64)), pa.array(found.view(np.int64)), lists, pa.array(of[owner]), pa.array(np.maximum(need[owner], 1))], ["id", "form", "position", "hash", "slots", "of", "need"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + block.first)), pa.array(np.full(len(first), form)), pa.array((first - begin[owner]).astype(np.int64)), pa.array(found.view(np.int64)), lists, pa.array(of[owner]), pa.array(np.maximum(need[owner], 1)), pa.array(np.full(len(first), size))], ["id", "form", "position", "hash", "slots", "of", "need", "size"])
 
 
-_SCHEMA = "id long, form long, position long, hash long, slots array<long>, of long, need long"
+_SCHEMA = "id long, form long, position long, hash long, slots array<long>, of long, need long, size long"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6) -> DataFrame:
     """One row per contaminated (doc_id, item_id): matched windows, those of the item, slot values, and where it starts.
 
-    A window counts if words outnumber its placeholders.  A pair counts when at least min(least, windows of the item that
+    A window of the template counts if it holds three words, or words only.  A pair counts when at least min(least, windows of the item that
     touch neither its first nor its last token; one at least) different windows of the item match along alignments whose
     slots agree, or of its plain words, which are all that items of placeholders have; what is told is of the template
-    where that matches.  Items of fewer than `window` tokens are one window; of fewer than 4, they match nothing.  Null
+    where that matches.  Items of fewer than `window` tokens are one window: a word or two are
+    found wherever they stand.  Items of placeholders with fewer words are found by their plain words.  Null
     texts and null ids match nothing, repeated rows of a document count once, other columns are ignored.
     """
-    sizes = list(range(SHORTEST, window + 1))
 
     def items(batches):
         for batch in batches:
-            yield from _rows(batch.column(0), batch.column(1), sizes, True, window, lambda h: np.ones(len(h), bool))
+            yield from _rows(batch.column(0), batch.column(1), list(range(1, window + 1)), True, window, lambda h: np.ones(len(h), bool))
 
     asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(items, _SCHEMA)
+    asked = stored(asked)
+    sizes = sorted(r.size for r in asked.select("size").distinct().collect())  # of 1 to `window`, those that items have
     bit = F.pmod(F.col("hash"), F.lit(BITS))
     bitmap = np.zeros(BITS // 8, np.uint8)
     for r in asked.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("bucket")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).collect():

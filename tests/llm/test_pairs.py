@@ -200,3 +200,59 @@ def test_whole_items_are_found(spark, sf_dir, documents):
         want |= {(d, windows[g]) for k in range(len(w) - 7) if (g := tuple(w[k : k + 8])) in windows}
     got = {(r.doc_id, r.item_id) for r in decontamination.matches(documents, bench).collect()}
     assert got == want
+
+
+def fingerprint(text: str, k: int, w: int, hashes: dict) -> list[tuple[int, int]]:
+    """(hash, position) chosen by the definition: of each window the least hash, the rightmost of equal ones."""
+    grams = [text[i : i + k] for i in range(max(1, len(text) - k + 1))] if text else []
+    values = [hashes[g] for g in grams]
+    windows = [range(i, i + w) for i in range(len(values) - w + 1)] or ([range(len(values))] if values else [])
+    chosen = [max((i for i in window if values[i] == min(values[j] for j in window))) for window in windows]
+    return [(values[i], i) for i in dict.fromkeys(chosen)]
+
+
+def test_compare_edited_against_brute_force(spark, documents, odd, none):
+    """Edited texts, their digests and both likenesses, with the last row wrapping to the first, nulls and repeated rows."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from prospark.llm import winnowing
+
+    k, w = 8, 8
+    docs = documents.where("doc_id < 60").select("doc_id", "text").union(odd.where("doc_id != 6").select("doc_id", "text"))
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for (_, t), (_, n) in zip(rows, rows[1:] + rows[:1])]
+    grams = {g for t in [t for _, t in rows] + edited for g in ([t[i : i + k] for i in range(max(1, len(t) - k + 1))] if t else [])}
+    own = spark.createDataFrame([(g,) for g in grams], "g string").select("g", winnowing.hash_of(F.element_at(winnowing.chosen(F.col("g"), k, w), 1)).alias("h"))
+    hashes = {r.g: r.h for r in own.collect()}
+    sets = [{h for h, _ in fingerprint(t, k, w, hashes)} for _, t in rows]
+    changed = [{h for h, _ in fingerprint(t, k, w, hashes)} for t in edited]
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), round(like(s, c), 12), round(like(s, n), 12)) for (d, t), e, s, c, n in zip(rows, edited, sets, changed, sets[1:] + sets[:1]))
+    got = winnowing.compare_edited(docs, k, w).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 12), round(r.near_next, 12)) for r in got) == want
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r.n_chars, r.edited_sha256), set()).add(r.fingerprint)
+    assert winnowing.compare_edited(none).count() == 0
+
+
+def test_positions_beyond_any_wrap(spark):
+    """Equal hashes on both sides of a power of two stay two, and the right one of a window is chosen."""
+    from pyspark.sql import functions as F
+
+    from prospark.llm import winnowing
+
+    pair = lambda h, p: (h << 31) | ((1 << 31) - 1 - p)
+    spots = [(1 << 24) - 1, 1 << 24, (1 << 25) + 3, (1 << 31) - 1]
+    df = spark.createDataFrame([(p, pair(5, p)) for p in spots], "p long, x long")
+    assert all((r.p, 5) == (r.q, r.h) for r in df.select("p", winnowing.position_of(F.col("x")).alias("q"), winnowing.hash_of(F.col("x")).alias("h")).collect())
+    assert sorted(spots, key=lambda p: pair(5, p)) == sorted(spots, reverse=True)
+
+
+def test_shortest_items_and_many_placeholders(spark):
+    items = {1: "Define entropy precisely", 2: "Tom has 3 cats 4 dogs 5 birds 6 fish", 3: "Gravity"}
+    docs = {1: "Now: define entropy precisely!", 2: "Jim has 8 cats 9 dogs 2 birds 1 fish", 3: "so Gravity is it", 4: "define it precisely, entropy", 5: "Jim has 8 cats and 9 dogs"}
+    df, bench = (spark.createDataFrame(list(x.items()), f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
