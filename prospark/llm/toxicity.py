@@ -1,9 +1,9 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around each hit.
 
 The lexicon is learned: words and word stems that are much more frequent in toxic than in clean training texts.  Whole
-words also match misspelled: a sign or digit in the place of a letter costs one, any other edit and a swap of two neighbours two, and words of 3 bytes
-may cost one, from 5 two, from 9 four (edits are of bytes; of the first byte only such replacements and swaps).  The automata of all words are run together as sets of (trie node, edits) pairs; sets met
-before are states of a table, so all distinct words of a block step through it side by side, a byte at a time.
+words also match misspelled: a sign or digit in the place of a letter costs one, any other edit and a swap of two neighbours
+two, and words of 3 letters may cost one, from 5 two, from 9 four.  Edits are of characters, the first one included.  The automata of all words are run together as sets of (trie node, edits) pairs; sets met
+before are states of a table, so all distinct words of a block step through it side by side, a character at a time.
 A hit is told by its surroundings: inside quotation marks or near a word of saying it is a quotation, near a second person
 it is directed.  A logistic regression on counts, weights and densities of hits by context gives the score.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import held_out, stored
-from ._words import Block, blocks, hashes
+from ._words import Block, blocks, hashes, ragged
 from .decontamination import _in, _word_hashes
 from .quality import labelled_sample
 
@@ -51,46 +51,50 @@ class Automaton:
 
     def __init__(self, words: list[str], limit: int = 100_000):
         self.limit = limit
-        self.next, self.end, self.most = [{}], [-1], [0]  # trie: children by byte, word, most edits of a word below
-        self.entry = [-1]  # byte of the edge into a node's parent: the one that comes second where the two are swapped
+        self.next, self.end, self.most = [{}], [-1], [0]  # trie: children by character, word, most edits of a word below
+        self.entry = [-1]  # character of the edge into a node's parent: the one that comes second where the two are swapped
         for k, w in enumerate(words):
-            data, at, last = w.encode(), 0, -1
-            edits = self.allowed(data)
-            for b in data:
+            at, last = 0, -1
+            edits = self.allowed(w)
+            for b in map(ord, w):
                 self.most[at] = max(self.most[at], edits)
                 if b not in self.next[at]:
                     self.next[at][b] = len(self.next)
                     self.next.append({}), self.end.append(-1), self.most.append(0), self.entry.append(last)
                 at, last = self.next[at][b], b
             self.end[at], self.most[at] = k, max(self.most[at], edits)
-        self.edits = [self.allowed(w.encode()) for w in words]
-        used = sorted({b for children in self.next for b in children})
-        self.kind = np.zeros(256, np.int64)  # 0: no byte of the lexicon, and no letter
-        self.kind[0x61:0x7B] = 1  # other letters
-        self.kind[0x80:] = 1
-        for i, b in enumerate(used):
-            self.kind[b] = i + 2
-        self.byte = [None, None, *used]
-        self.longest = max((len(w.encode()) for w in words), default=0) + 2
+        self.edits = [self.allowed(w) for w in words]
+        self.used = np.asarray(sorted({b for children in self.next for b in children}), np.int64)
+        self.byte = [None, None, *self.used.tolist()]  # kind 0: no letter and not in the lexicon, 1: other letters
+        self.longest = max(map(len, words), default=0) + 2
         self._clear()
 
     @staticmethod
-    def allowed(word: bytes) -> int:
+    def allowed(word: str) -> int:
         return 0 if len(word) < 3 else 1 if len(word) < 5 else 2 if len(word) < 9 else 4
 
+    def kinds(self, points: np.ndarray) -> np.ndarray:
+        """The kind of each code point: its place among those of the lexicon, or whether it may be a letter."""
+        letter = ((points >= 0x61) & (points <= 0x7A)) | (points >= 0x80)
+        if not len(self.used):
+            return letter.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.used, points), len(self.used) - 1)
+        return np.where(self.used[at] == points, at + 2, letter)
+
     def _clear(self) -> None:
-        self.sets, self.number = [frozenset(), frozenset({(0, 0)})], {frozenset(): 0, frozenset({(0, 0)}): 1}
+        start = self._close({0: 0})
+        self.sets, self.number = [frozenset(), start], {frozenset(): 0, start: 1}
         self.table = np.full((1024, len(self.byte)), -1, np.int32)
         self.table[0] = 0
         self.result = [(-1, 9), (-1, 9)]
 
     def _close(self, pairs: dict[int, int]) -> frozenset:
-        """Adds nodes reached by leaving out lexicon bytes, keeping the fewest edits of each node."""
+        """Adds nodes reached by leaving out lexicon characters, keeping the fewest edits of each node."""
         todo = list(pairs)
         while todo:
             node = todo.pop()
             e = pairs[node] + 2
-            for child in self.next[node].values() if node > 0 else ():
+            for child in self.next[node].values() if node >= 0 else ():
                 if e <= self.most[child] and e < pairs.get(child, 9):
                     pairs[child] = e
                     todo.append(child)
@@ -105,7 +109,7 @@ class Automaton:
 
         byte = self.byte[kind]
         for node, e in self.sets[state]:
-            if node < 0:  # the second byte of a swap was read, the first is due
+            if node < 0:  # the second character of a swap was read, the first is due
                 if byte == self.entry[-node]:
                     put(-node, e)
                 continue
@@ -117,10 +121,9 @@ class Automaton:
                     put(child, e)
                 elif kind == 0:
                     put(child, e + 1)
-                elif node:
+                else:
                     put(child, e + 2)
-            if node:
-                put(node, e + 2)
+            put(node, e + 2)
         reached = self._close(out)
         k = self.number.get(reached)
         if k is None:
@@ -138,13 +141,24 @@ class Automaton:
         if len(self.sets) > self.limit:
             self._clear()
         word, edits = np.full(len(starts), -1), np.full(len(starts), 9)
-        size = ends - starts
-        live = np.flatnonzero((size > 0) & (size <= self.longest))
-        live = live[np.argsort(-size[live], kind="stable")]
+        live = np.flatnonzero((ends > starts) & (ends - starts <= 4 * self.longest))
+        n = ends[live] - starts[live] + 1
+        flat = np.full(int(n.sum()), 0x0A, np.uint8)
+        inside = np.ones(len(flat), bool)
+        inside[np.cumsum(n) - 1] = False  # a line break after each word, which holds none
+        flat[inside] = buf[ragged(starts[live], n - 1)]
+        points = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+        stop = np.flatnonzero(points == 0x0A)
+        first = np.concatenate(([0], stop[:-1] + 1)) if len(stop) else stop
+        size = stop - first
+        kinds = self.kinds(points)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] <= self.longest]
+        live, first, size = live[order], first[order], size[order]
         state = np.ones(len(live), np.int64)
-        for j in range(int(size[live[0]]) if len(live) else 0):
-            n = int(np.searchsorted(-size[live], -j, "left"))  # words longer than j
-            kind = self.kind[buf[starts[live[:n]] + j]]
+        for j in range(int(size[0]) if len(live) else 0):
+            n = int(np.searchsorted(-size, -j, "left"))  # words longer than j
+            kind = kinds[first[:n] + j]
             to = self.table[state[:n], kind]
             unknown = np.flatnonzero(to < 0)
             if len(unknown):
