@@ -18,15 +18,25 @@ JOB_STEMS = ("geran", "cogeran", "presiden", "directeu", "directri", "dg", "pdg"
 HEADERS = {
     "prenom": ["prenom", "first name", "given name", "firstname"],
     "nom": ["nom", "last name", "family name", "lastname", "surname", "nom de famille"],
+    "nom_complet": ["name", "nom complet", "full name", "display name", "contact", "nom contact", "contact nom", "prenom nom", "nom et prenom", "contact name", "dirigeant", "exploitant", "gerant", "responsable", "interlocuteur"],
     "poste": ["poste", "position", "job title", "title", "fonction", "titre", "organization 1 title", "intitule du poste", "role"],
-    "email": ["email", "e mail", "mail", "courriel", "email address", "e mail address", "adresse email", "email professionnel"],
-    "tel": ["tel", "telephone", "phone", "mobile", "mobile phone", "business phone", "portable", "gsm", "phone number"],
-    "societe": ["societe", "company", "entreprise", "organisation", "organization", "employeur", "raison sociale", "enseigne"],
+    "societe": ["societe", "company", "entreprise", "organisation", "organization", "organization 1 name", "employeur", "raison sociale", "agence", "etablissement", "nom etablissement", "enseigne", "nom entreprise", "nom de l entreprise", "nom de l agence", "nom du camping", "nom de l etablissement", "nom de la societe", "denomination", "nom commercial"],
+    "email": ["email", "e mail", "mail", "courriel", "email address", "e mail address", "e mail 1 value", "adresse email", "email 1", "adresse e mail", "email professionnel", "e mail value"],
+    "tel": ["tel", "telephone", "phone", "mobile", "mobile phone", "business phone", "phone 1 value", "portable", "tel 1", "telephone portable", "telephone mobile", "gsm", "phone number", "tel mobile"],
+    "linkedin": ["linkedin", "profil linkedin", "lien linkedin", "url linkedin", "linkedin dirigeant", "linkedin contact"],
+    "linkedin_entreprise": ["linkedin entreprise", "page linkedin entreprise", "linkedin societe"],
     "site": ["site", "website", "site web", "url site", "web", "site internet", "www"],
-    "adresse": ["adresse", "address", "rue", "street", "adresse postale"],
+    "adresse": ["adresse", "address", "rue", "street", "adresse postale", "adresse 1", "adresse 2"],
     "ville": ["ville", "city", "commune", "localite", "town"],
     "cp": ["cp", "code postal", "zip", "postal code", "zip code", "codepostal"],
-}
+    "forme_juridique": ["statut juridique", "forme juridique", "forme jur", "statut", "nature juridique"],
+    "note_societe": ["remarques", "remarques specialites", "specialites", "notes", "note", "commentaire", "commentaires", "observations"],
+    "url": ["url"],
+}
+# Words of headers that speak of a company, headers of places, and headers of row numbers.
+COMPANY_WORDS = ("entreprise", "societe", "agence", "camping", "etablissement", "structure", "enseigne", "denomination", "commercial", "commerciale")
+PLACE_HEADERS = ("departement", "dept", "region", "code postal", "cp", "ville", "commune", "pays")
+NUMBER_HEADERS = ("n", "no", "numero", "num", "rang", "id", "index", "")
 # Outcomes of an enrichment that are recorded.
 OUTCOMES = ("livre", "sans_resultat", "refus_opposition", "refus_quota")
 
@@ -73,19 +83,77 @@ def people(cell: Column, job: Column) -> Column:
     return F.filter(F.transform(parts, person), lambda p: (p.given != "") | (p.family != ""))
 
 
-def header_fields(headers: list[str], words: dict[str, list[str]] = HEADERS) -> list[str | None]:
-    """The field of each header: the one that lists it, else the first that lists a word it holds (never nom)."""
-    plain = lambda h: re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFD", h or "") if not unicodedata.combining(c)).lower()).strip()
+def plain_header(h: str | None) -> str:
+    bare = "".join(c for c in unicodedata.normalize("NFD", h or "") if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", " ", bare.lower()).strip()
+
+
+def header_field(header: str | None, words: dict[str, list[str]] = HEADERS) -> str | None:
+    """The field that a header names, looked at alone.
+
+    Flags and technical columns have none.  Network pages, then mail, telephone and job words, then names of companies count
+    before the listed words; of these an equal one, else the first field with a word that the header holds (never nom or url).
+    """
+    h = plain_header(header)
+    company = any(w in h for w in COMPANY_WORDS)
+    if not h or re.search(r"\bis company\b|\bid (name|id)\b|\b(industry|campaign)\b", h):
+        return None
+    if "linkedin" in h:
+        return "linkedin_entreprise" if company else "linkedin"
+    for field, pattern in (("email", r"courriel|\be ?mail\b"), ("tel", r"\b(telephone|portable|mobile|gsm|phone|tel)\b"), ("poste", r"\b(poste|fonction)\b")):
+        if re.search(pattern, h):
+            return field
+    if (company or "company" in h or "partner" in h) and re.search(r"\bnom\b|name|denomination|raison", h):
+        return "societe"
     exact = {w: field for field, listed in words.items() for w in listed}
+    return exact.get(h) or next((f for f, listed in words.items() if f not in ("nom", "url") and any(w in h for w in listed)), None)
+
+
+def source_of(headers: list[str]) -> str:
+    """What a file comes from, by its headers: linkedin, gmail, outlook, prospection or carnet."""
+    h = set(map(plain_header, headers))
+    person = {"first name", "last name"} <= h
+    if person and h & {"connected on", "url"}:
+        return "linkedin"
+    if {"given name", "family name"} <= h or any(re.search(r"e mail \d value|organization \d (name|title)", x) for x in h):
+        return "gmail"
+    if person and h & {"e mail address", "job title", "business phone"}:
+        return "outlook"
+    return "prospection" if h & {"adresse", "ville", "cp"} and not h & {"first name", "prenom"} else "carnet"
+
+
+def header_fields(headers: list[str], rows: list[list[str]] | None = None, words: dict[str, list[str]] = HEADERS) -> list[str | None]:
+    """The field of each header of a file; rows, its first ones, tell columns of row numbers.
+
+    Places are never names.  A plain name column is nothing beside one of contact or partner names.  In a list of companies
+    (places, but no company and no given name) a name is the company's.
+    """
+    plain = [plain_header(h) for h in headers]
+    out = [header_field(h, words) for h in headers]
+
+    def numbered(i: int) -> bool:
+        values = [r[i].strip() for r in rows or [] if i < len(r) and r[i] and r[i].strip()]
+        return len(values) >= 2 and all(v.isdecimal() for v in values) and all(int(a) < int(b) for a, b in zip(values, values[1:]))
+
+    for i, h in enumerate(plain):
+        if (h in NUMBER_HEADERS and numbered(i)) or (h in PLACE_HEADERS and out[i] in ("nom", "nom_complet", "societe")):
+            out[i] = None
+    if any("contact name" in h or "partner name" in h for h in plain):
+        out = [None if f == "nom_complet" and h == "name" else f for f, h in zip(out, plain)]
+    if source_of(headers) == "prospection" and "societe" not in out and "prenom" not in out:
+        out = ["societe" if f in ("nom", "nom_complet") else f for f in out]
+    return out
+
+
+def with_header_fields(df: DataFrame, header: str) -> DataFrame:
+    """df with `field`, that of its header: distinct headers are looked at once."""
 
-    def field(h: str) -> str | None:
-        if not h:
-            return None
-        if "linkedin" in h:
-            return "linkedin_entreprise" if re.search("entreprise|societe|company", h) else "linkedin"
-        return exact.get(h) or next((f for f, listed in words.items() if f != "nom" and any(w in h for w in listed)), None)
+    def run(parts):
+        for pdf in parts:
+            yield pdf.assign(field=[header_field(h) for h in pdf[header]])
 
-    return [field(plain(h)) for h in headers]
+    known = df.select(header).distinct().mapInPandas(run, f"`{header}` string, field string")
+    return df.join(known, header, "left")
 
 
 def without_title(rows: list[list[str]]) -> list[list[str]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import cents, first_filled, percent
+from ..operators.purge import Rule, purge
 from ..operators.rows import page
 from ..registry import query
 from ..session import load
@@ -203,3 +206,54 @@ def field_fallback(spark, d):
     p = load(spark, d, "customer").select(k.alias("id"), F.when(k % 3 != 0, F.concat(F.lit("plan-"), "c_mktsegment")).alias("plan"))
     out = c.join(p, "id")
     return out.select("id", first_filled("own", "plan").alias("name"), F.when(F.coalesce("own", F.lit("")) != "", "user").when(F.coalesce("plan", F.lit("")) != "", "plan").alias("source"))
+
+
+_PURGE_RULES = (
+    Rule("quote", "o_custkey", "account", unless="o_orderstatus = 'F' and o_orderpriority < '3'"),
+    Rule("signature", "l_orderkey", "quote"),
+    Rule("campaign", "owner", "account"),
+    Rule("campaign_event", "campaign_id", "campaign"),
+    Rule("audit_log", "user_id", "account", action="anonymise"),
+    Rule("invoice", "o_custkey", "account", action="keep"),
+)
+
+
+def _purged(spark, d):
+    """Accounts 3, 10, 17, ... go; quotes that were accepted and invoiced stay, and with them their signatures."""
+    tables = {
+        "account": load(spark, d, "customer"),
+        "quote": load(spark, d, "orders"),
+        "signature": load(spark, d, "lineitem").select("l_orderkey", "l_linenumber"),
+        "campaign": load(spark, d, "supplier").withColumn("owner", F.col("s_suppkey") * 3),
+        "campaign_event": load(spark, d, "part").withColumn("campaign_id", F.col("p_partkey") % 150),
+        "audit_log": load(spark, d, "events").select("event_id", "user_id"),
+        "invoice": load(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey"),
+    }
+    gone = tables["account"].where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("id"))
+    return purge(tables, _PURGE_RULES, "account", gone, {"account": "c_custkey", "quote": "o_orderkey", "campaign": "s_suppkey"})
+
+
+_PURGE_SQL = """g as (select c_custkey from customer where c_custkey % 7 = 3), q as (select *, o_custkey in (from g) as own, o_custkey in (from g) and not (o_orderstatus = 'F' and o_orderpriority < '3') as dies from orders),
+k as (select s_suppkey, s_suppkey * 3 in (from g) as dies from supplier), s as (select l.*, o_orderkey is not null as dies from lineitem l left join (select o_orderkey from q where dies) on l_orderkey = o_orderkey)"""
+
+
+@query(f"""with {_PURGE_SQL}, x as (select 'account' as table_name, 'delete' as action, count(*) as n from g union all select 'quote', case when dies then 'delete' else 'keep' end, count(*) from q where own group by 2
+ union all select 'signature', 'delete', count(*) from s where dies union all select 'campaign', 'delete', count(*) from k where dies union all select 'campaign_event', 'delete', count(*) from part where p_partkey % 150 in (select s_suppkey from k where dies)
+ union all select 'audit_log', 'anonymise', count(*) from events where user_id in (from g) union all select 'invoice', 'keep', count(*) from orders where o_orderstatus = 'P' and o_custkey in (from g)) select * from x where n > 0""")
+def purge_counts(spark, d):
+    return _purged(spark, d)[1]
+
+
+@query(f"""with {_PURGE_SQL} select 'quote' as table_name, o_orderstatus as part, count(*) as n, sum(o_orderkey)::bigint as keys from q where not dies group by 2
+ union all select 'signature', l_linenumber::varchar, count(*), sum(l_orderkey)::bigint from s where not dies group by 2
+ union all select 'audit_log', case when user_id in (from g) then 'nobody' else 'known' end, count(*), sum(event_id)::bigint from events group by 2
+ union all select 'campaign_event', '', count(*), sum(p_partkey)::bigint from part where p_partkey % 150 not in (select s_suppkey from k where dies) group by 2""")
+def purge_left(spark, d):
+    """What is left of quotes, their signatures, the log and the events of campaigns."""
+    left, _ = _purged(spark, d)
+
+    def told(name, part, key):
+        return left[name].groupBy(F.lit(name).alias("table_name"), part.alias("part")).agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
+
+    parts = (("quote", F.col("o_orderstatus"), "o_orderkey"), ("signature", F.col("l_linenumber").cast("string"), "l_orderkey"), ("audit_log", F.when(F.col("user_id").isNull(), "nobody").otherwise("known"), "event_id"), ("campaign_event", F.lit(""), "p_partkey"))
+    return reduce(DataFrame.unionByName, [told(*p) for p in parts])

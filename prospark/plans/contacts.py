@@ -24,10 +24,20 @@ def people_split(spark, d):
     return load(spark, d, "customer").select("c_custkey", F.array_join(line, ";").alias("people"))
 
 
-@query("""select * from (values ('Prénom', 'prenom'), ('Nom', 'nom'), ('E-mail pro', 'email'), ('Tél. portable', 'tel'), ('Page LinkedIn société', 'linkedin_entreprise'), ('Profil LinkedIn', 'linkedin'), ('Code Postal', 'cp'), ('Couleur', null)) t(header, field)""")
+_HEADERS = (
+    ("Prénom", "prenom"), ("Nom", "nom"), ("E-mail pro", "email"), ("Tél. portable", "tel"), ("Page LinkedIn société", "linkedin_entreprise"), ("Profil LinkedIn", "linkedin"), ("Code Postal", "cp"), ("Couleur", None),
+    ("Full name", "nom_complet"), ("Name", "nom_complet"), ("CONTACT", "nom_complet"), ("Nom complet", "nom_complet"), ("Forme juridique", "forme_juridique"), ("Remarques / Spécialités", "note_societe"), ("Agence", "societe"),
+    ("Nom du camping", "societe"), ("partner_is_company", None), ("industry_id/name", None), ("Client/Contacts/Courriel", "email"), ("Fonction dirigeant", "poste"), ("Nom dirigeant", "nom_complet"), ("URL", "url"), ("company name", "societe"), ("zip", "cp"),
+)
+
+
+@query("with h(i, header, field) as (values " + ", ".join(f"({i}, '{h}', {repr(f) if f else 'null'})" for i, (h, f) in enumerate(_HEADERS)) + ") select c_custkey, case when c_custkey % 5 = 0 then upper(header) else header end as header, field from customer join h on i = c_custkey % 24")
 def header_mapping(spark, d):
-    headers = ["Prénom", "Nom", "E-mail pro", "Tél. portable", "Page LinkedIn société", "Profil LinkedIn", "Code Postal", "Couleur"]
-    return spark.createDataFrame(list(zip(headers, contacts.header_fields(headers))), "header string, field string")
+    """The header that each customer's file has for a column, in either case, and the field it names."""
+    k = F.col("c_custkey")
+    header = F.element_at(F.array(*(F.lit(h) for h, _ in _HEADERS)), (k % 24 + 1).cast("int"))
+    rows = load(spark, d, "customer").select("c_custkey", F.when(k % 5 == 0, F.upper(header)).otherwise(header).alias("header"))
+    return contacts.with_header_fields(rows, "header").select("c_custkey", "header", "field")
 
 
 @query("""
