@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -102,6 +103,9 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def visitor_token(salt: Column, ip: Column, agent: Column) -> Column:
-    """Daily anonymous token: sha256 over salt, address and agent (Spark has no keyed hash; the salt is the key)."""
-    return F.sha2(F.concat_ws("|", salt, ip, agent), 256)
+def visitor_token(salt: bytes, ip: Column, agent: Column) -> Column:
+    """A day's anonymous token: 32 signs of the keyed digest (HMAC-SHA256) of address and agent, the day's salt being the key."""
+    key = (salt if len(salt) <= 64 else hashlib.sha256(salt).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    message = F.encode(F.concat_ws("\n", F.coalesce(ip, F.lit("")), F.coalesce(agent, F.lit(""))), "UTF-8")
+    return F.substring(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256), 1, 32)

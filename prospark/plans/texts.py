@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.names import company_key, domain, html_text, mails_in, own_domain_first, phones_in, sirens_in, sirets_in, street_key
+from ..functions.names import HOSTERS, company_key, domain, html_text, mails_in, own_domain_first, phones_in, sirens_in, sirets_in, street_key
 from ..functions.values import department
 from ..registry import query
 from ..session import load
@@ -48,11 +48,27 @@ def extract_sirets(spark, d):
     return docs.select("doc_id", F.array_join(F.array_sort(sirets_in(F.col("text"))), ",").alias("sirets"), F.size(F.regexp_extract_all("text", F.lit("[0-9]{9,}"), F.lit(0))).cast("bigint").alias("runs"))
 
 
-@query()
+_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_HOSTERS = "|".join(h.replace(".", r"\.") for h in HOSTERS)
+
+
+@query(rf"""
+with p as (select page_id, regexp_replace(regexp_extract(regexp_replace(lower(url), '^[a-z]+://', ''), '^([^/:?#]*)', 1), '^www\.', '') as host, {_TEXT} || case page_id % 4 when 0 then ' Contact@' || regexp_replace(regexp_extract(url, '://([^/]*)', 1), '^www\.', '') || ', ann@firm.fr; noreply@firm.fr logo@2x.png a@wix.com 01.42 68-53 00' when 1 then ' tel +33 6 12 34 56 78 or 0800 123 456 RCS 123 456.789' else '' end as text from pages),
+m as (select page_id, host, list_distinct(list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b'), lambda x: lower(x))) as mails,
+ list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?:\+33|0)\s?[1-9](?:[\s.\- ]?[0-9]{{2}}){{4}}\b'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[^0-9+]', '', 'g'), '^\+33', '0'), '[^0-9]', '', 'g')), lambda d: length(d) = 10 and not starts_with(d, '08'))) as phones,
+ list_distinct(list_transform(regexp_extract_all(text, '\b[0-9]{{3}}[\s. ]?[0-9]{{3}}[\s. ]?[0-9]{{3}}\b'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))) as sirens from p),
+u as (select *, list_filter(mails, lambda e: not regexp_matches(split_part(e, '@', 1), '^(no-?reply|ne-?pas-?repondre|nepasrepondre|postmaster|webmaster|mailer-daemon|daemon|abuse|hostmaster)$') and not regexp_matches(regexp_replace(split_part(e, '@', 2), '^www\.', ''), '(^|\.)example\.(com|org|net)$')
+ and not regexp_matches(split_part(e, '@', 2), '\.(png|jpg|jpeg|gif|webp|svg)$') and not regexp_matches(regexp_replace(split_part(e, '@', 2), '^www\.', ''), '(^|\.)({_HOSTERS})$')) as useful from m)
+select page_id, array_to_string(list_sort(list_filter(useful, lambda e: split_part(e, '@', 2) = host)), ',') as own_mails, array_to_string(list_sort(list_filter(useful, lambda e: split_part(e, '@', 2) <> host)), ',') as other_mails, array_to_string(list_sort(phones), ',') as phones, array_to_string(list_sort(sirens), ',') as sirens from u""")
 def extract_contacts(spark, d):
-    """Mails (those of the page's own host first), phones and company numbers of pages' texts."""
-    p = load(spark, d, "pages").select("page_id", domain(F.col("url")).alias("host"), html_text(F.col("html")).alias("text"))
-    return p.select("page_id", own_domain_first(mails_in(F.col("text")), F.col("host")).alias("mails"), phones_in(F.col("text")).alias("phones"), sirens_in(F.col("text")).alias("sirens"))
+    """Mails (those of the page's own host apart), phones and company numbers of pages' texts, to which some are put."""
+    k, bare = F.col("page_id") % 4, F.regexp_replace(F.regexp_extract("url", "://([^/]*)", 1), r"^www\.", "")
+    more = F.when(k == 0, F.concat(F.lit(" Contact@"), bare, F.lit(", ann@firm.fr; noreply@firm.fr logo@2x.png a@wix.com 01.42 68-53 00"))).when(k == 1, " tel +33 6 12 34 56 78 or 0800 123 456 RCS 123 456.789").otherwise("")
+    p = load(spark, d, "pages").select("page_id", domain(F.col("url")).alias("host"), F.concat(html_text(F.col("html")), more).alias("text"))
+    mails = own_domain_first(mails_in(F.col("text")), F.col("host"))
+    own = lambda e: F.substring_index(e, "@", -1) == F.col("host")
+    line = lambda a: F.array_join(F.array_sort(a), ",")
+    return p.select("page_id", line(F.filter(mails, own)).alias("own_mails"), line(F.filter(mails, lambda e: ~own(e))).alias("other_mails"), line(phones_in(F.col("text"))).alias("phones"), line(sirens_in(F.col("text"))).alias("sirens"))
 
 
 @query("""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as text from pages""")
