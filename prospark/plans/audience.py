@@ -18,6 +18,12 @@ def _events(spark, d: str) -> DataFrame:
     return load(spark, d, "events")
 
 
+def _newest(events: DataFrame):
+    """events and the moment of the newest one as a literal, so that filters by it reach the scan."""
+    last = events.agg(F.unix_micros(F.max("ts"))).first()[0]
+    return events, F.timestamp_micros(F.lit(last))
+
+
 @query("""select strftime(ts, '%Y-%m-%d') as day, count(*) as views, count(distinct user_id) as visitors from events group by 1""")
 def daily_visitors(spark, d):
     e = _events(spark, d)
@@ -77,9 +83,9 @@ with m as (select max(ts) as now from events), e as (select events.*, now from e
 select event_type, count(distinct user_id) filter (ts > now - interval 2 hour) as visitors_2h, count(*) as hits_1d, count(distinct user_id) as visitors_1d from e group by 1 order by hits_1d desc, event_type limit 10""")
 def live_presence(spark, d):
     """Over the day before the newest event: hits and visitors by kind, and the visitors of its last two hours; top ten."""
-    e = _events(spark, d)
-    e = e.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where("ts > now - interval 1 day")
-    late = F.col("ts") > F.expr("now - interval 2 hours")
+    e, now = _newest(_events(spark, d))
+    e = e.where(F.col("ts") > now - F.expr("interval 1 day"))
+    late = F.col("ts") > now - F.expr("interval 2 hours")
     out = e.groupBy("event_type").agg(F.count_distinct(F.when(late, F.col("user_id"))).alias("visitors_2h"), F.count("*").alias("hits_1d"), F.count_distinct("user_id").alias("visitors_1d"))
     return out.orderBy(F.desc("hits_1d"), "event_type").limit(10)
 
@@ -88,8 +94,8 @@ def live_presence(spark, d):
 with m as (select max(ts) as now from events)
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, count(*) as hits from events, m where ts > now - interval 30 hour group by 1""")
 def hits_per_hour(spark, d):
-    e = _events(spark, d)
-    e = e.join(F.broadcast(e.agg(F.max("ts").alias("now")))).where("ts > now - interval 30 hours")
+    e, now = _newest(_events(spark, d))
+    e = e.where(F.col("ts") > now - F.expr("interval 30 hours"))
     return e.groupBy(F.window("ts", "1 hour").start.alias("h")).agg(F.count("*").alias("hits")).select(F.date_format("h", "yyyy-MM-dd HH").alias("hour"), "hits")
 
 
