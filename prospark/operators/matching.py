@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import company_key, domain, fold, phone, street_key
 from ..functions.values import blank
 
 
@@ -39,6 +40,31 @@ def signal_votes(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return votes.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(left_id, right_id, F.when(F.col("sure").isNotNull(), "certain").otherwise("presumed").alias("level"), "n_signals")
 
 
+def match_points(companies: DataFrame, points: DataFrame) -> DataFrame:
+    """companies met with points of interest: siret, osm_id, level, n_signals and the contacts of the point.
+
+    certain by the establishment's number, then the company's; else presumed by two signals or more on one point: domain,
+    telephone, mail, the address, and name with town.  The last one only confirms, as one signal alone is none.  The point
+    with the most signals counts, then the smallest osm_id.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    number = lambda siret, siren: F.when(bare(siren) != "", bare(siren)).otherwise(F.substring(bare(siret), 1, 9))
+
+    def both(name: Column, town: Column) -> Column:
+        return F.when((company_key(name) != "") & (fold(town) != ""), F.concat_ws("|", company_key(name), fold(town)))
+
+    def place(cp: Column, street: Column, house: Column) -> Column:
+        digits = F.regexp_extract(F.coalesce(house, F.lit("")), "([0-9]+)", 1)
+        return F.when(~blank(cp) & (street != "") & (digits != ""), F.concat_ws("|", F.trim(cp), street, digits))
+
+    c, p = F.col, F.col
+    own = companies.select("siret", bare(c("siret")).alias("_siret"), number(c("siret"), c("siren")).alias("_siren"), domain(c("website")).alias("_domain"), phone(c("societe_tel")).alias("_tel"), F.lower(F.trim("societe_email")).alias("_mail"), both(c("raison_sociale"), c("ville")).alias("_name"), place(c("code_postal"), street_key(c("type_voie"), c("libelle_voie")), c("numero_voie")).alias("_place"))
+    seen = points.select("osm_id", bare(p("siret")).alias("_siret"), number(p("siret"), p("siren")).alias("_siren"), domain(p("website")).alias("_domain"), phone(p("phone")).alias("_tel"), F.lower(F.trim("email")).alias("_mail"), both(p("nom"), p("city")).alias("_name"), place(p("postcode"), street_key(F.lit(""), p("street")), p("housenumber")).alias("_place"))
+    found = signal_votes(own, seen, "siret", "osm_id", ["_siret", "_siren"], ["_domain", "_tel", "_mail", "_name", "_place"])
+    contacts = points.select("osm_id", F.trim("website").alias("website"), F.trim("email").alias("societe_email"), F.trim("phone").alias("societe_tel"))
+    return found.join(contacts, "osm_id").select("siret", "osm_id", "level", "n_signals", "website", "societe_email", "societe_tel")
+
+
 def tiered(left: DataFrame, right: DataFrame, tiers: list[tuple[int, list[str]]], left_id: str, right_id: str, answer: str) -> DataFrame:
     """The answer of the first tier whose keys a row shares with candidates; several distinct answers there mean none.
 

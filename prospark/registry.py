@@ -20,7 +20,7 @@ def query(oracle: str | None = None):
     return register
 
 
-from .plans import accounts, audience, contacts, crm, establishments, identity, prospects, register, sector, store, texts, values  # noqa: E402, F401
+from .plans import accounts, audience, contacts, crm, establishments, identity, prospects, quotas, register, sector, store, texts, values  # noqa: E402, F401
 from .streaming import audience as _streams  # noqa: E402, F401
 from .sinks import rollup as _rollup  # noqa: E402, F401
 from .streaming import presence as _presence  # noqa: E402, F401
