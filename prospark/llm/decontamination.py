@@ -214,7 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
 
     found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(texts, _SCHEMA)
     both = found.select(F.col("id").alias("doc_id"), "hash", F.col("position").alias("at"), F.col("slots").alias("doc_slots")).join(asked.select(F.col("id").alias("item_id"), "form", "hash", "position", "slots", "of", "need"), "hash")
-    both = both.withColumn("shift", F.col("at") - F.col("position"))
+    both = stored(both.withColumn("shift", F.col("at") - F.col("position")))  # read twice, texts once
     # along one alignment, a value of the item may stand for one value of the document only
     line = ["doc_id", "item_id", "form", "shift"]
     pairs = both.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("slots", "doc_slots")).alias("p")).groupBy(*line, F.col("p.slots").alias("v")).agg((F.min("p.doc_slots") == F.max("p.doc_slots")).alias("one"))
