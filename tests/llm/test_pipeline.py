@@ -20,7 +20,7 @@ def test_stages():
 def test_entry():
     entry = importlib.import_module("__spark_entry__")
     assert {"pipeline", *QUERIES} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
