@@ -102,14 +102,21 @@ def site(snapshots: DataFrame, pages: int = 10) -> DataFrame:
     return parts.select("as_of", "visitors", "per_minute", "covered", newest.alias("last")).join(top, "as_of", "left")
 
 
-def with_rocksdb(spark, run):
-    """run() with the state store that processors with timers need; the session's own setting comes back."""
-    before = spark.conf.get(_STATES, None)
-    spark.conf.set(_STATES, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def with_rocksdb(spark, run, partitions: int | None = None):
+    """run() with the state store that processors with timers need, and as many partitions of state as there are shards, if given.
+
+    The session's own settings come back.
+    """
+    wanted = {_STATES: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    wanted |= {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return run()
     finally:
-        spark.conf.set(_STATES, before) if before else spark.conf.unset(_STATES)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 @query("""
@@ -122,7 +129,7 @@ def live_presence_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = read_events(spark, f"{d}/events*.parquet", schema).select("ts", F.col("event_id").alias("id"), F.col("user_id").alias("visitor"), F.col("event_type").alias("path"))
     end = spark.read.parquet(f"{d}/events.parquet").agg(F.date_trunc("hour", F.max("ts").cast("timestamp")).alias("end"))
-    found = with_rocksdb(spark, lambda: drain(presence(stream, "1 hour", "0 seconds", 4), "append"))
+    found = with_rocksdb(spark, lambda: drain(presence(stream, "1 hour", "0 seconds", 4), "append"), 4)
     ids = F.array_join(F.transform("last", lambda x: x.id.cast("string")), ",")
     views = F.aggregate("per_minute", F.lit(0).cast("long"), lambda a, x: a + x)
     out = site(found).join(F.broadcast(end), F.col("as_of") <= F.col("end"))
