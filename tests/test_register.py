@@ -111,6 +111,13 @@ def test_sector_search_with_copies(spark):
         assert set(got) == _sector_best(queries, catalogue, synonyms, best) and len(got) == len(set(got)) > 90
 
 
+def test_a_label_counts_for_its_own_item(spark):
+    """Two items of one code: only that whose label holds the letters is found by them, both by their words."""
+    catalogue = spark.createDataFrame([(0, "01.1", "acier"), (1, "01.1", "bois"), (2, "02.2", "bois")], "place long, code string, label string")
+    found = sector.search(spark.createDataFrame([(0, "ois"), (1, "bois")], "query_id long, query string"), catalogue, spark.createDataFrame([], "synonym string, code string"))
+    assert sorted(map(tuple, found.collect())) == [(0, "01.1", 70, 1), (0, "02.2", 70, 2), (1, "01.1", 80, 1), (1, "01.1", 80, 2), (1, "02.2", 80, 3)]
+
+
 def test_sector_search_broadcasts_nothing_told_apart(spark, sf_dir):
     """The rows of an explode are underestimated: those of runs of letters went through the driver as a small table."""
     plan = registry.QUERIES["sector_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
