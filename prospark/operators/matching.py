@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import company_key, domain, fold, phone, street_key
@@ -20,24 +19,42 @@ def shared_values(df: DataFrame, value: str, owner: str) -> DataFrame:
 def signal_votes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, certain: list[str], weak: list[str], least: int = 2) -> DataFrame:
     """(left_id, right_id, level, n_signals): certain keys decide in order; else `least` weak signals on one candidate.
 
-    The best candidate has the most signals, then the smallest id.  As so many weak signals must agree, rows are joined on
-    so many at a time: a weak signal that many rows share makes no pairs by itself.  Blank keys join nothing.
+    The best candidate has the most signals, then the smallest id.  Candidates are summed up to the smallest id for each set
+    of signals that may agree, and rows of left with equal keys are one: as the largest set that meets tells the best, each
+    such row meets one row a set, however many candidates share it.  Sets double with each weak signal, which are few.
+    Blank keys join nothing.
     """
-    text = lambda c: F.col(c).cast("string")
-    a = left.select(left_id, *(text(c).alias(f"_l_{c}") for c in [*certain, *weak]))
-    b = right.select(right_id, *(text(c).alias(f"_r_{c}") for c in [*certain, *weak]))
-    agrees = lambda c: ~blank(f"_l_{c}") & (F.col(f"_l_{c}") == F.col(f"_r_{c}"))
-
-    def hits(keys: tuple[str, ...]) -> DataFrame:
-        filled = lambda side: reduce(lambda x, y: x & y, [~blank(f"_{side}_{c}") for c in keys])
-        return a.where(filled("l")).join(b.where(filled("r")), reduce(lambda x, y: x & y, [F.col(f"_l_{c}") == F.col(f"_r_{c}") for c in keys]))
-
-    found = reduce(DataFrame.unionByName, [hits(keys) for keys in [*((c,) for c in certain), *combinations(weak, least)]])
-    sure = F.coalesce(*(F.when(agrees(c), i) for i, c in enumerate(certain))) if certain else F.lit(None).cast("int")
-    n_signals = sum((F.when(agrees(c), 1).otherwise(0) for c in weak), F.lit(0)).cast("bigint")
-    votes = found.select(left_id, right_id, sure.alias("sure"), n_signals.alias("n_signals"))
-    best = Window.partitionBy(left_id).orderBy(F.asc_nulls_last("sure"), F.desc("n_signals"), F.asc(right_id))
-    return votes.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(left_id, right_id, F.when(F.col("sure").isNotNull(), "certain").otherwise("presumed").alias("level"), "n_signals")
+    text = lambda df, i: df.select(F.col(i), *(F.when(blank(F.col(c).cast("string")), "").otherwise(F.col(c).cast("string")).alias(f"_k_{c}") for c in [*certain, *weak]))
+    a, b = text(left, left_id), text(right, right_id)
+    signals = [f"_k_{c}" for c in weak]
+
+    def sets(df: DataFrame, keep: list[str], least: int) -> DataFrame:
+        """Each row once for every set of `least` filled signals or more; signals outside the set are empty."""
+        every = [n for n in range(2 ** len(signals)) if n.bit_count() >= least]
+        filled = sum((F.when(F.col(c) != "", 1 << i).otherwise(0) for i, c in enumerate(signals)), F.lit(0))
+        rows = df.withColumn("_filled", filled).withColumn("_set", F.explode(F.filter(F.array(*map(F.lit, every)), lambda n: n.bitwiseAND(F.col("_filled")) == n)))
+        return rows.select(*keep, "_set", *(F.when(F.col("_set").bitwiseAND(1 << i) != 0, F.col(c)).otherwise("").alias(c) for i, c in enumerate(signals)))
+
+    def votes(order: int, sure: list[str], least: int) -> DataFrame:
+        """left_id with the best of the candidates that share `sure` and `least` signals or more."""
+        keys = [*sure, *signals]
+        own = {k: f"_own{k}" for k in keys}
+        given = reduce(lambda x, y: x & y, [F.col(k) != "" for k in sure], F.lit(True))
+        sums = sets(b.where(given).groupBy(*keys).agg(F.min(right_id).alias(right_id)), [*sure, right_id], least).groupBy(*sure, "_set", *signals).agg(F.min(right_id).alias(right_id))
+        rows = a.where(given).select(*keys).distinct()
+        if sure:  # most have a number that no candidate has
+            rows = rows.join(b.where(given).select(*sure).distinct().hint("merge"), sure, "left_semi")
+        rows = sets(rows.select("*", *(F.col(k).alias(o) for k, o in own.items())), [*sure, *own.values()], least)
+        # merged, as sets make many rows of what looks small enough to broadcast
+        met = rows.join(sums.hint("merge"), [*sure, "_set", *signals])
+        vote = F.struct(F.lit(order).alias("order"), (-F.bit_count("_set")).alias("signals"), F.col(right_id).alias("id"))
+        best = met.groupBy(*own.values()).agg(F.min(vote).alias("_vote")).withColumnsRenamed({o: k for k, o in own.items()})
+        return a.join(best.hint("merge"), keys).select(left_id, "_vote")
+
+    found = [votes(i, [f"_k_{c}"], 0) for i, c in enumerate(certain)]
+    found += [votes(len(certain), [], least)] if least <= len(weak) else []
+    best = reduce(DataFrame.unionByName, found).groupBy(left_id).agg(F.min("_vote").alias("_vote"))
+    return best.select(left_id, F.col("_vote.id").alias(right_id), F.when(F.col("_vote.order") < len(certain), "certain").otherwise("presumed").alias("level"), (-F.col("_vote.signals")).cast("bigint").alias("n_signals"))
 
 
 def match_points(companies: DataFrame, points: DataFrame) -> DataFrame:

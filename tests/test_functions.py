@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,44 @@ def test_matching(spark):
     assert got == {1: (11, "presumed"), 3: (10, "certain")}
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_votes_are_those_of_all_pairs(spark, least):
+    """Keys that many rows share, blanks on either side, an id of several rows, and two certain keys of which the first decides."""
+    r = random.Random(least)
+    value = lambda n, p: r.choice([None, "", " "]) if r.random() < p else f"v{r.randrange(n)}"
+    row = lambda i: (i, value(30, 0.8), value(30, 0.8), value(3, 0.3), value(4, 0.3), value(5, 0.3))
+    left, right = [row(k % 140) for k in range(150)], [row(k) for k in range(60)]
+    ddl = "id int, a string, b string, x string, y string, z string"
+    b = spark.createDataFrame(right, ddl).withColumnRenamed("id", "poi")
+    got = [tuple(x) for x in matching.signal_votes(spark.createDataFrame(left, ddl), b, "id", "poi", ["a", "b"], ["x", "y", "z"], least).collect()]
+    same = lambda u, v: bool(u and u.strip() and u == v)
+    want = {}
+    for u in left:
+        for v in right:
+            agree = [same(p, q) for p, q in zip(u[1:], v[1:])]
+            n = sum(agree[2:])
+            if any(agree[:2]) or n >= least:
+                order = 0 if agree[0] else 1 if agree[1] else 2
+                want[u[0]] = min(want.get(u[0], (9,)), (order, -n, v[0]))
+    assert sorted(got) == sorted((i, p, "presumed" if o == 2 else "certain", -n) for i, (o, n, p) in want.items()) and {x[2] for x in got} == {"certain", "presumed"}
+
+
+def test_votes_make_no_pairs(spark):
+    """300 companies and 300 points with the same two signals: a join makes a row each, not 90,000."""
+    a = spark.range(300).select(F.col("id").alias("soc"), F.lit("d").alias("domain"), F.lit("t").alias("tel"))
+    out = matching.signal_votes(a, a.withColumnRenamed("soc", "poi"), "soc", "poi", [], ["domain", "tel"])
+    assert {tuple(r) for r in out.collect()} == {(k, 0, "presumed", 2) for k in range(300)}
+    plan, most = out._jdf.queryExecution().executedPlan(), 0
+    waiting = [plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan]
+    while waiting:
+        node = waiting.pop()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())] + ([node.plan()] if "QueryStage" in node.nodeName() else [])
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    assert 0 < most <= 300
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "x", "o"), (2, "", "o"), (3, "z", "o")], "id int, a string, b string")
     new = spark.createDataFrame([(1, "y", None), (2, "y", "n"), (4, "w", "n")], "id int, a string, b string")
