@@ -9,6 +9,7 @@ minutes it still answers.  Snapshots of the shards are added up, their last visi
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,7 @@ from .audience import drain, read_events
 
 WINDOW, PRESENT, MINUTES, LAST = 30 * 60_000, 5 * 60_000, 30, 20
 SNAPSHOT = "shard int, as_of timestamp, visitors long, per_minute array<long>, covered int, last array<struct<at: timestamp, id: long, path: string>>, pages array<struct<path: string, visitors: long>>"
+EACH = 250_000  # visits of a shard in one batch
 _STATES = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -91,6 +93,11 @@ def presence(visits: DataFrame, every: str = "1 minute", late: str = "10 minutes
     return own.groupBy("shard").transformWithStateInPandas(statefulProcessor=Presence(ms, most), outputStructType=SNAPSHOT, outputMode="append", timeMode="eventTime")
 
 
+def shards_of(visits: int, least: int = 4) -> int:
+    """As many shards as leave each about EACH visits of a batch: what a task sorts and keeps doesn't grow with the batch."""
+    return max(least, -(-visits // EACH))
+
+
 def site(snapshots: DataFrame, pages: int = 10) -> DataFrame:
     """as_of, visitors, per_minute, covered, last and pages of the whole site, from the snapshots of all shards."""
     add = F.array(*(F.sum(F.col("per_minute")[i]).alias(f"m{i}") for i in range(MINUTES)))
@@ -125,11 +132,15 @@ w as (select as_of, ts, event_id, user_id, event_type from t join events on ts <
 h as (select as_of, count(distinct user_id) filter (ts >= as_of - interval 5 minute) as visitors, count(*) filter (ts >= as_of - interval 1 minute) as last_minute, count(*) as views, list(event_id order by ts desc, event_id desc)[:20] as last_ids from w group by 1)
 select strftime(as_of, '%Y-%m-%d %H') as hour, coalesce(visitors, 0) as visitors, coalesce(last_minute, 0) as last_minute, coalesce(views, 0)::bigint as views, array_to_string(last_ids, ',') as last_ids from t left join h using (as_of)""")
 def live_presence_stream(spark, d):
-    """The events as a stream: at each full hour with events, who is there, the views of 30 minutes, the last 20 views."""
+    """The events as a stream: at each full hour with events, who is there, the views of 30 minutes, the last 20 views.
+
+    The whole table is one batch, so its rows tell the number of shards.  No view is left out, however busy a shard is.
+    """
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = read_events(spark, f"{d}/events*.parquet", schema).select("ts", F.col("event_id").alias("id"), F.col("user_id").alias("visitor"), F.col("event_type").alias("path"))
+    shards = shards_of(spark.read.parquet(f"{d}/events.parquet").count())
     end = spark.read.parquet(f"{d}/events.parquet").agg(F.date_trunc("hour", F.max("ts").cast("timestamp")).alias("end"))
-    found = with_rocksdb(spark, lambda: drain(presence(stream, "1 hour", "0 seconds", 4), "append"), 4)
+    found = with_rocksdb(spark, lambda: drain(presence(stream, "1 hour", "0 seconds", shards, sys.maxsize), "append"), shards)
     ids = F.array_join(F.transform("last", lambda x: x.id.cast("string")), ",")
     views = F.aggregate("per_minute", F.lit(0).cast("long"), lambda a, x: a + x)
     out = site(found).join(F.broadcast(end), F.col("as_of") <= F.col("end"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import datetime
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from prospark import registry
 from prospark.sources.paged_stream import PagedStream, PagedStreamReader
 from prospark.streaming import presence
 
@@ -116,3 +119,18 @@ def test_presence_over_a_restart(spark, tmp_path):
         assert (r.visitors, list(r.per_minute), r.covered) == (n, minutes, covered)
         assert [x.id for x in r["last"]] == [x[1] for x in last]
         assert {p.path: p.visitors for p in r.pages or []} == dict(pages)
+
+
+def test_shards_follow_the_visits(spark, tmp_path, monkeypatch):
+    """More visits are more shards, not larger tasks, and one visitor with 6000 views in half an hour has them all counted."""
+    e = spark.range(6400).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 10:40:00' + make_dt_interval(0, 0, 0, if(id < 6000, id * 0.15, (id - 6000) * 30.0))").alias("ts"), F.when(F.col("id") < 6000, 7).otherwise(F.col("id") % 50).alias("user_id"), F.lit("x").alias("event_type"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(presence, "EACH", 500)
+    made, asked = presence.presence, []
+    monkeypatch.setattr(presence, "presence", lambda visits, every, late, shards, *more: asked.append(shards) or made(visits, every, late, shards, *more))
+    out = registry.QUERIES["live_presence_stream"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"select hour, visitors, last_minute, views, last_ids from ({registry.ORACLE_SQL['live_presence_stream']})").fetchall()
+    assert sorted(tuple(r) for r in out.select("hour", "visitors", "last_minute", "views", "last_ids").collect()) == sorted(want)
+    assert asked == [13] and max(r[3] for r in want) > 6000
