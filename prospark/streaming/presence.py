@@ -27,7 +27,7 @@ _STATES = "spark.sql.streaming.stateStore.providerClass"
 
 
 def snapshot(visits: list[tuple], at: int, most: int) -> tuple:
-    """What (ms, id, visitor, path) visits in order say as of `at` ms, this moment left out."""
+    """What (ms, id, visitor, path) visits in order say as of `at` ms, this moment left out; microseconds beyond the ms may follow."""
     kept = [v for v in visits if at - WINDOW <= v[0] < at]
     known = kept[-most - 1][0] if len(kept) > most else at - WINDOW
     kept = kept[-most:]
@@ -36,9 +36,9 @@ def snapshot(visits: list[tuple], at: int, most: int) -> tuple:
         minutes[MINUTES - 1 - (at - 1 - ms) // 60_000] += 1
     now = [v for v in kept if v[0] >= at - PRESENT]
     pages: dict[str, set] = {}
-    for _, _, visitor, path in now:
+    for _, _, visitor, path, *_ in now:
         pages.setdefault(path, set()).add(visitor)
-    last = [(pd.Timestamp(ms, unit="ms"), i, path) for ms, i, _, path in kept[: -LAST - 1 : -1]]
+    last = [(pd.Timestamp(ms * 1000 + sum(us), unit="us"), i, path) for ms, i, _, path, *us in kept[: -LAST - 1 : -1]]
     return len({v[2] for v in now}), minutes, min(MINUTES, -(-(at - known) // 60_000)), last, sorted((p, len(v)) for p, v in pages.items())
 
 
@@ -59,7 +59,7 @@ class Presence(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new: dict[int, list] = {}
         for pdf in rows:
-            for v in zip(pdf.ms.tolist(), pdf.id.tolist(), pdf.visitor.tolist(), pdf.path.tolist()):
+            for v in zip(pdf.ms.tolist(), pdf.id.tolist(), pdf.visitor.tolist(), pdf.path.tolist(), pdf.us.tolist()):
                 new.setdefault(v[0] // PRESENT, []).append(v)
         for slot, visits in new.items():
             self.slots.updateValue((slot,), (json.dumps(self._slot(slot) + visits),))
@@ -79,7 +79,7 @@ class Presence(StatefulProcessor):
             stays = stays or any(ends <= v[0] < at for v in own)
         if stays:
             self.handle.registerTimer(at + self.every)
-        visitors, minutes, covered, last, pages = snapshot(sorted(visits), at, self.most)
+        visitors, minutes, covered, last, pages = snapshot(sorted(visits, key=lambda v: (v[0], v[4], v[1])), at, self.most)
         yield pd.DataFrame({"shard": [key[0]], "as_of": [pd.Timestamp(at, unit="ms")], "visitors": [visitors], "per_minute": [minutes], "covered": [covered], "last": [last], "pages": [pages]})
 
     def close(self) -> None:
@@ -89,7 +89,7 @@ class Presence(StatefulProcessor):
 def presence(visits: DataFrame, every: str = "1 minute", late: str = "10 minutes", shards: int = 8, most: int = 5000) -> DataFrame:
     """Snapshots by shard of a stream visits(ts, id, visitor, path): `most` visits are kept in a shard, later ones than `late` go."""
     ms = int(pd.Timedelta(every).total_seconds() * 1000)
-    own = visits.withWatermark("ts", late).select(F.pmod(F.hash("visitor"), F.lit(shards)).alias("shard"), "ts", F.unix_millis("ts").alias("ms"), "id", F.col("visitor").cast("string").alias("visitor"), "path")
+    own = visits.withWatermark("ts", late).select(F.pmod(F.hash("visitor"), F.lit(shards)).alias("shard"), "ts", F.unix_millis("ts").alias("ms"), "id", F.col("visitor").cast("string").alias("visitor"), "path", F.pmod(F.unix_micros("ts"), F.lit(1000)).alias("us"))
     return own.groupBy("shard").transformWithStateInPandas(statefulProcessor=Presence(ms, most), outputStructType=SNAPSHOT, outputMode="append", timeMode="eventTime")
 
 

@@ -122,8 +122,8 @@ def test_presence_over_a_restart(spark, tmp_path):
 
 
 def test_shards_follow_the_visits(spark, tmp_path, monkeypatch):
-    """More visits are more shards, not larger tasks, and one visitor with 6000 views in half an hour has them all counted."""
-    e = spark.range(6400).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 10:40:00' + make_dt_interval(0, 0, 0, if(id < 6000, id * 0.15, (id - 6000) * 30.0))").alias("ts"), F.when(F.col("id") < 6000, 7).otherwise(F.col("id") % 50).alias("user_id"), F.lit("x").alias("event_type"))
+    """More visits are more shards, not larger tasks, and one visitor with 6000 views in half an hour has them all counted, in order within a millisecond."""
+    e = spark.range(6400).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 10:40:00' + make_dt_interval(0, 0, 0, if(id < 6000, (id div 4) * 0.6 - (id % 4) * 0.0002, (id - 6000) * 30.0))").alias("ts"), F.when(F.col("id") < 6000, 7).otherwise(F.col("id") % 50).alias("user_id"), F.lit("x").alias("event_type"))
     e.write.parquet(f"{tmp_path}/events.parquet")
     monkeypatch.setattr(presence, "EACH", 500)
     made, asked = presence.presence, []
